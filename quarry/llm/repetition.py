@@ -1,8 +1,8 @@
 """Quality rules by repetition coverage.
 
-For every n-gram length of a set, a rolling hash over a document's word numbers finds the n-grams that occur
-twice or more; the rule measures the characters of all words inside such n-grams, and the characters inside
-lines that repeat an earlier line. A document is kept when every coverage stays within its limit.
+For every n-gram length of a set, a rolling hash over a document's word numbers finds the n-grams that repeat an
+earlier one; the rule measures the characters of all words inside such n-grams, each once, and the characters
+inside lines that repeat an earlier line. A document is kept when every coverage stays within its limit.
 
 Defined results: null, empty and blank texts have no words and fail the base rule; a very long text is measured
 whole; repeated rows are judged one by one; extra columns of the input are ignored; an empty table gives an empty
@@ -11,6 +11,8 @@ result. doc_id is passed through unchanged, null included.
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,6 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Odd multiplier of the rolling polynomial hash (modulo 2^64).
 BASE = np.uint64(0x9E3779B97F4A7C15)
-BLANK_BYTES = frozenset(BLANKS.encode())
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -35,7 +36,7 @@ SCHEMA = (
 
 
 def rolling(ids: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each window of n word numbers, by Horner's rule; the numbers are mixed first."""
+    """The hash of each window of n mixed word numbers, by Horner's rule."""
     span = len(ids) - n + 1
     out = np.zeros(span, np.uint64)
     for k in range(n):
@@ -43,13 +44,22 @@ def rolling(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def covered(keys: np.ndarray, n: int, size: int) -> np.ndarray:
-    """Which of `size` words lie in a window of n whose key occurs at least twice."""
-    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    starts = np.flatnonzero(counts[inverse] > 1)
+def repeated(keys: np.ndarray, first_too: bool) -> np.ndarray:
+    """The places of keys that occur twice or more, with or without each key's first place."""
+    plain = np.sort(keys)
+    if not (plain[1:] == plain[:-1]).any():
+        return np.zeros(0, np.int64)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    later = order[1:][same]
+    return np.union1d(order[:-1][same], later) if first_too else later
+
+
+def inside(starts: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Which of `size` words lie in a window of n words at one of `starts` (distinct)."""
     steps = np.zeros(size + 1, np.int32)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + n, -1)
+    steps[starts] += 1
+    steps[starts + n] -= 1
     return np.cumsum(steps[:size]) > 0
 
 
@@ -70,26 +80,25 @@ def measure(text: str | None, limits: dict[int, int], line_limit: int) -> tuple:
                 dup_line_chars += len(line)
             seen.add(line)
 
-    numbers: dict[bytes, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in parts), np.uint64, n_words)
-    repeat_words = 0
-    if n_words >= 3:
+    numbers: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    ids = np.fromiter(map(numbers.__getitem__, parts), np.uint64, n_words)
+    repeat_words, dup_chars = 0, dict.fromkeys(limits, 0)
+    if n_words >= 3 and len(numbers) < n_words:
         size = np.uint64(len(numbers))
-        if len(numbers) < 1 << 21:
-            keys = (ids[:-2] * size + ids[1:-1]) * size + ids[2:]
-        else:  # beyond 2^21 distinct words the exact key needs two columns, folded through ranks of pairs
-            pairs = np.unique(ids[:-2] * size + ids[1:-1], return_inverse=True)[1].astype(np.uint64)
-            keys = pairs * size + ids[2:]
-        repeat_words = int(covered(keys, 3, n_words).sum())
-
-    dup_chars = {n: 0 for n in limits}
-    if numbers and len(numbers) < n_words:
-        lengths = np.fromiter((_chars(w) for w in numbers), np.int64, len(numbers))[ids.astype(np.int64)]
+        pairs = ids[:-2] * size + ids[1:-1]
+        if len(numbers) >= 1 << 21:  # three numbers would not fit in 64 bits; ranks of pairs do
+            pairs = np.unique(pairs, return_inverse=True)[1].astype(np.uint64)
+        starts = repeated(pairs * size + ids[2:], first_too=True)
+        repeat_words = int(inside(starts, 3, n_words).sum())
+    if repeat_words:
+        lengths = np.fromiter(map(_chars, numbers), np.int64, len(numbers))[ids.astype(np.int64)]
         mixed = (ids + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
-        for n in limits:
-            if n_words >= n:
-                dup_chars[n] = int(lengths[covered(rolling(mixed, n), n, n_words)].sum())
+        for n in sorted(limits):
+            starts = repeated(rolling(mixed, n), first_too=False) if n_words >= n else ()
+            if not len(starts) and n >= 3:
+                break  # a longer n-gram repeats only where a shorter one does
+            dup_chars[n] = int(lengths[inside(starts, n, n_words)].sum()) if len(starts) else 0
 
     failed = n_words < 50 or 100 * repeat_words > 50 * n_words
     kept = (

@@ -80,7 +80,7 @@ def feistel_shards(docs: DataFrame, shards: int = 16, key: int = 7) -> DataFrame
         "text_crc32",
         F.lit("rows").alias("law"),
         (F.col("_place") % shards).cast("int").alias("shard"),
-        F.floor(F.col("_place") / shards).cast("long").alias("slot"),
+        F.expr(f"_place div {int(shards)}").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "row_no",
     )

@@ -11,6 +11,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.simhash import simhash_components
+
+    return simhash_components(_documents(spark, sf_dir)).drop("fp")
+
+
 def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.repetition import repetition_quality
 
@@ -23,9 +29,24 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards(_documents(spark, sf_dir)).drop("row_no")
 
 
+def op9_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.topk import exact_top_k
+
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.packing import pack_buckets
+
+    return pack_buckets(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_repetition_coverage, op6_feistel_shards)}
+    return {f.__name__: f for f in (op1_simhash_vp_tree, op4_repetition_coverage, op6_feistel_shards, op9_bit_sliced_top_k, op10_length_buckets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quarry.llm.packing import packing_sql
+    from quarry.llm.topk import TOP_K_SQL
+
+    return {"op9_bit_sliced_top_k": TOP_K_SQL, "op10_length_buckets": packing_sql()}

@@ -14,7 +14,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.simhash import simhash_components
 
-    return simhash_components(_documents(spark, sf_dir)).drop("fp")
+    return simhash_components(_documents(spark, sf_dir)).drop("text_key", "first")
 
 
 def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

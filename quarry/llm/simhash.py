@@ -55,14 +55,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row."""
+    """(doc_id, text_key, fp) for every row; text_key is a hash of the text that tells rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(t.as_py(), shingle) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return keyed.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 class Tree:
@@ -199,26 +201,29 @@ def links_between(prints: DataFrame, sample: int = 65536, leaf: int = 256) -> Da
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id and fp for every row of (doc_id, text)."""
+    """doc_id, fingerprint (hex), component_id, text_key and first (is this row kept?) for every row of (doc_id, text).
+
+    The kept row of a component is the one with the smallest doc_id (null last), then text_key.
+    """
     prints = saved(fingerprints(docs, shingle), "simhash-prints")
-    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "simhash-distinct")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    distinct = saved(prints.groupBy("fp").agg(F.min(row).alias("least")), "simhash-distinct")
     roots = saved(connected_components(links_between(distinct)), "simhash-roots")
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "least_doc", F.coalesce("root", "fp").alias("root")
-    )
-    least = named.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    of_print = saved(named.join(least, "root").select("fp", "component_id"), "simhash-components")
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("least"))
+    of_print = saved(named.select("fp", "root").join(least, "root").select("fp", "least"), "simhash-components")
     return prints.join(of_print, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("least.id").alias("component_id"),
+        "text_key",
+        (F.col("doc_id").eqNullSafe(F.col("least.id")) & (F.col("text_key") == F.col("least.key"))).alias("first"),
     )
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the row with the smallest doc_id stays.
-
-    Where that doc_id stands on several rows, the one with the least text hash stays; rows equal in both are equal.
-    """
-    found = simhash_components(docs, shingle)
-    firsts = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi")
-    return kept
+    """The rows of `docs` with one row of each component; equal rows (same doc_id, same text) count as one."""
+    firsts = simhash_components(docs, shingle).where("first").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    on = keyed["doc_id"].cast("long").eqNullSafe(firsts["_id"]) & (keyed["_text_key"] == firsts["_key"])
+    return keyed.join(firsts, on, "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")

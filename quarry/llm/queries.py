@@ -29,6 +29,12 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards(_documents(spark, sf_dir)).drop("row_no")
 
 
+def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.topk import exact_top_k
 
@@ -42,7 +48,7 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_vp_tree, op4_repetition_coverage, op6_feistel_shards, op9_bit_sliced_top_k, op10_length_buckets)}
+    return {f.__name__: f for f in (op1_simhash_vp_tree, op4_repetition_coverage, op6_feistel_shards, op7_toxicity_cnn, op9_bit_sliced_top_k, op10_length_buckets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,6 +33,7 @@ def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    spark._jvm.System.gc()  # Spark deletes a shuffle's files once the driver has collected what refers to it
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,14 @@ def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.lines import line_dedup
+
+    return line_dedup(_documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op9_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.topk import exact_top_k
 
@@ -48,11 +57,12 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_vp_tree, op4_repetition_coverage, op6_feistel_shards, op7_toxicity_cnn, op9_bit_sliced_top_k, op10_length_buckets)}
+    return {f.__name__: f for f in (op1_simhash_vp_tree, op4_repetition_coverage, op6_feistel_shards, op7_toxicity_cnn, op8_line_dedup, op9_bit_sliced_top_k, op10_length_buckets)}
 
 
 def oracle_sql() -> dict[str, str]:
     from quarry.llm.packing import packing_sql
+    from quarry.llm.lines import LINE_DEDUP_SQL
     from quarry.llm.topk import TOP_K_SQL
 
-    return {"op9_bit_sliced_top_k": TOP_K_SQL, "op10_length_buckets": packing_sql()}
+    return {"op8_line_dedup": LINE_DEDUP_SQL, "op9_bit_sliced_top_k": TOP_K_SQL, "op10_length_buckets": packing_sql()}

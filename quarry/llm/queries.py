@@ -18,6 +18,18 @@ def op1_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_documents(spark, sf_dir)).drop("text_key", "first")
 
 
+#: Target shares of tokens by quality label.
+QUALITY_WEIGHTS = {0: 0.03, 1: 0.97}
+
+
+def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.mixing import mixed
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = mixed(_documents(spark, sf_dir), labels, QUALITY_WEIGHTS)
+    return found.select("doc_id", "tokens", "p_0", "p_1", "rate", "copies")
+
+
 def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.repetition import repetition_quality
 
@@ -57,7 +69,7 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_vp_tree, op4_repetition_coverage, op6_feistel_shards, op7_toxicity_cnn, op8_line_dedup, op9_bit_sliced_top_k, op10_length_buckets)}
+    return {f.__name__: f for f in (op1_simhash_vp_tree, op2_soft_mixing, op4_repetition_coverage, op6_feistel_shards, op7_toxicity_cnn, op8_line_dedup, op9_bit_sliced_top_k, op10_length_buckets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,23 +24,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import numbered, saved
+from quarry.llm.common import discard, numbered, saved, saved_at
 
 BUCKETS = 1 << 13
-#: White space that separates words.
-BLANK = r"[\x20\x09-\x0D]+"
 LOW = (1 << 50) - 1
 
 
+def split_words(line: Column) -> Column:
+    """The words of a line, cut at ASCII white space; splitting at one plain character needs no regular expression."""
+    for blank in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
+
+
 def bucket_ranks(docs: DataFrame) -> Column:
-    """A constant: the array of all buckets' ranks by rarity over all texts. Only the 8,192 counts reach the driver."""
-    words = docs.select(F.explode(F.split("text", BLANK)).alias("w")).where("w <> ''")
+    """A constant: for each bucket its rank by rarity over all texts.
+
+    Only the 8,192 counts reach the driver.
+    """
+    words = docs.select(F.explode(split_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 51).cast("int")
     counts = {r.b: r.n for r in words.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}
     ranks = [0] * BUCKETS
     for place, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))):
         ranks[b] = place
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")  # folded to a literal when planned
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded to a literal when planned
 
 
 def line_tokens(line: Column, ranks: Column) -> Column:
@@ -48,13 +56,9 @@ def line_tokens(line: Column, ranks: Column) -> Column:
 
     The bucket is the hash's upper 13 bits and ranks are a permutation, so a key stands for 63 bits of the hash.
     """
-
-    def key(word: Column) -> Column:
-        h = F.xxhash64(word)
-        rank = F.element_at(ranks, F.shiftrightunsigned(h, 51).cast("int") + 1).cast("long")
-        return F.shiftleft(rank, 50).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
-
-    return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(line, BLANK), lambda w: w != ""), key)))
+    hashes = F.transform(split_words(line), lambda w: F.xxhash64(w))
+    rank = lambda h: F.shiftleft(F.get(ranks, F.shiftrightunsigned(h, 51).cast("int")), 50)
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: rank(h).bitwiseOR(h.bitwiseAND(F.lit(LOW))))))
 
 
 def signature(tokens: Column) -> Column:
@@ -72,7 +76,7 @@ def could_match(percent: int) -> Column:
     """Length filter, positional filter and bitmap bound for a posting (n, pos, sig) and an earlier one (n2, pos2, sig2)."""
     least = needed(percent, "n", "n2")
     return F.expr(
-        f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND 1 + least(n - pos, n2 - pos2) - 1 >= {least} "
+        f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND least(n - pos, n2 - pos2) >= {least} "
         f"AND bit_count(sig ^ sig2) <= n + n2 - 2 * ({least})"
     )
 
@@ -102,7 +106,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     n = F.size("tokens")
     # A match leaves at most n - ceil(percent n / 100) of a set's tokens unmatched.
     prefix = F.slice("tokens", 1, n - F.expr(f"({percent} * size(tokens) + 99) div 100").cast("int") + 1)
-    placed = saved(
+    placed, wide = saved_at(
         tokens.where(n > 0).select(
             "doc_id", "text_key", "line", F.xxhash64("tokens").alias("set_id"), n.alias("n"),
             signature(F.col("tokens")).alias("sig"), prefix.alias("prefix"),
@@ -112,7 +116,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line")
     sets = placed.groupBy("set_id").agg(F.min(place).alias("at")).select("set_id", "at.*")
     numbers, _ = numbered(sets, ["none", "doc_id", "text_key", "line"], "line-sets", "no")
-    numbers = saved(numbers.drop("none"), "line-numbers")
+    numbers = numbers.drop("none")
 
     first = (
         (placed["set_id"] == numbers["set_id"])
@@ -123,9 +127,18 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # Sets so small that only an equal set reaches the threshold need no candidates.
     firsts = placed.where(f"100 * n >= {percent} * (n + 1)").join(numbers, first).select("no", "n", "sig", "prefix")
     firsts = saved(firsts, "line-firsts")
-    postings = firsts.select("no", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.min("no").alias("hub"), F.max("no").alias("last")).where("hub < last")
-    postings = saved(postings.join(shared.select("token", "hub"), "token"), "line-postings")
+    placed = saved(placed.select("doc_id", "text_key", "line", "set_id"), "line-places")
+    discard(docs.sparkSession, wide)
+
+    # A posting is a token and a set's number with the token's position in 16 bits (a capped position filters less).
+    mark = lambda t, i: F.struct(t.alias("token"), F.shiftleft("no", 16).bitwiseOR(F.least(i, F.lit(65535)).cast("long")).alias("mark"))
+    postings = firsts.select(F.explode(F.transform("prefix", mark)).alias("p")).select("p.*")
+    shared = postings.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1").select("token")
+    postings = saved(postings.join(shared, "token"), "line-shared")
+    hubs = postings.groupBy("token").agg(F.min("mark").alias("hub")).withColumn("hub", F.shiftright("hub", 16))
+    details = firsts.select(F.col("no").alias("set_no"), "n", "sig")
+    postings = postings.select("token", F.shiftright("mark", 16).alias("no"), F.col("mark").bitwiseAND(F.lit(65535)).cast("int").alias("pos"))
+    postings = saved(postings.join(details, F.col("no") == F.col("set_no")).drop("set_no").join(hubs, "token"), "line-postings")
 
     earlier = [F.col("no").alias("other"), F.col("n").alias("n2"), F.col("sig").alias("sig2"), F.col("pos").alias("pos2")]
     hubs = postings.where("no = hub").select("token", *earlier)

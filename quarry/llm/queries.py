@@ -30,12 +30,24 @@ def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "tokens", "p_0", "p_1", "rate", "copies")
 
 
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.substrings import remove_repeated_words
+
+    return remove_repeated_words(_documents(spark, sf_dir))
+
+
 def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.repetition import repetition_quality
 
     return repetition_quality(_documents(spark, sf_dir))
 
 
+def op5_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.suffixes import remove_repeated_bytes
+
+    return remove_repeated_bytes(_documents(spark, sf_dir))
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.shards import feistel_shards
 
@@ -69,7 +81,19 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_vp_tree, op2_soft_mixing, op4_repetition_coverage, op6_feistel_shards, op7_toxicity_cnn, op8_line_dedup, op9_bit_sliced_top_k, op10_length_buckets)}
+    found = (
+        op1_simhash_vp_tree,
+        op2_soft_mixing,
+        op3_recompression,
+        op4_repetition_coverage,
+        op5_prefix_doubling,
+        op6_feistel_shards,
+        op7_toxicity_cnn,
+        op8_line_dedup,
+        op9_bit_sliced_top_k,
+        op10_length_buckets,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the contracts define it; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: With this, Spark deletes a statement's shuffle files when the statement ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share (spark.checkpoint.dir).
@@ -32,8 +35,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    spark._jvm.System.gc()  # Spark deletes a shuffle's files once the driver has collected what refers to it
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -28,6 +28,8 @@ from quarry.llm.common import discard, numbered, saved, saved_at
 
 BUCKETS = 1 << 13
 LOW = (1 << 50) - 1
+#: Bitmaps of 64 bits in the second bound.
+WIDE = 8
 
 
 def split_words(line: Column) -> Column:
@@ -61,10 +63,19 @@ def line_tokens(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: rank(h).bitwiseOR(h.bitwiseAND(F.lit(LOW))))))
 
 
-def signature(tokens: Column) -> Column:
-    """A 64-bit bitmap of a token set; two sets differ in at least as many tokens as their bitmaps in bits."""
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(bit(t)))
+def signature(tokens: Column, words: int = 1) -> list[Column]:
+    """Bitmaps of a token set, 64 bits each; two sets differ in at least as many tokens as all their bitmaps in bits."""
+    one = F.lit(1).cast("long")
+    bit = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
+    own = lambda t, i: F.shiftright(t, 6).bitwiseAND(F.lit(words - 1)) == i
+    return [
+        F.aggregate(
+            tokens if words == 1 else F.filter(tokens, lambda t: own(t, i)),  # noqa: B023
+            F.lit(0).cast("long"),
+            lambda acc, t: acc.bitwiseOR(bit(t)),
+        )
+        for i in range(words)
+    ]
 
 
 def needed(percent: int, x: str, y: str) -> str:
@@ -90,9 +101,14 @@ def similar(pairs: DataFrame, docs: DataFrame, numbers: DataFrame, ranks: Column
     found = texts.select(F.split("text", "\n").alias("all"), F.explode("lines").alias("l")).select(
         F.col("l.no").alias("no"), line_tokens(F.element_at("all", F.col("l.line") + 1), ranks).alias("tokens")
     )
-    sets = saved(found.dropDuplicates(["no"]), "line-tokens")
-    one, two = sets.toDF("no", "tokens"), sets.toDF("other", "tokens2")
-    both = pairs.join(one, "no").join(two, "other")
+    found = found.dropDuplicates(["no"])
+    sets = saved(found.select("no", "tokens", *[c.alias(f"s{i}") for i, c in enumerate(signature(F.col("tokens"), WIDE))]), "line-tokens")
+    bounds = sets.select("no", F.size("tokens").alias("n"), *[f"s{i}" for i in range(WIDE)])
+    one, two = bounds, bounds.toDF("other", "n2", *[f"t{i}" for i in range(WIDE)])
+    apart = " + ".join(f"bit_count(s{i} ^ t{i})" for i in range(WIDE))
+    near = pairs.join(one, "no").join(two, "other").where(f"{apart} <= n + n2 - 2 * ({needed(percent, 'n', 'n2')})")
+    one, two = sets.select("no", "tokens"), sets.select(F.col("no").alias("other"), F.col("tokens").alias("tokens2"))
+    both = saved(near.select("no", "other"), "line-near").join(one, "no").join(two, "other")
     common = F.size(F.array_intersect("tokens", "tokens2"))
     union = F.size("tokens") + F.size("tokens2") - common
     return both.where(common * 100 >= union * percent).select("no").distinct()
@@ -109,7 +125,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     placed, wide = saved_at(
         tokens.where(n > 0).select(
             "doc_id", "text_key", "line", F.xxhash64("tokens").alias("set_id"), n.alias("n"),
-            signature(F.col("tokens")).alias("sig"), prefix.alias("prefix"),
+            signature(F.col("tokens"))[0].alias("sig"), prefix.alias("prefix"),
         ),
         "lines",
     )
@@ -130,25 +146,28 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     placed = saved(placed.select("doc_id", "text_key", "line", "set_id"), "line-places")
     discard(docs.sparkSession, wide)
 
-    # A posting is a token and a set's number with the token's position in 16 bits (a capped position filters less).
+    # A posting is a prefix token with its set's number and, in 16 bits, its position (a capped position filters less).
     mark = lambda t, i: F.struct(t.alias("token"), F.shiftleft("no", 16).bitwiseOR(F.least(i, F.lit(65535)).cast("long")).alias("mark"))
-    postings = firsts.select(F.explode(F.transform("prefix", mark)).alias("p")).select("p.*")
-    shared = postings.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1").select("token")
-    postings = saved(postings.join(shared, "token"), "line-shared")
-    hubs = postings.groupBy("token").agg(F.min("mark").alias("hub")).withColumn("hub", F.shiftright("hub", 16))
-    details = firsts.select(F.col("no").alias("set_no"), "n", "sig")
-    postings = postings.select("token", F.shiftright("mark", 16).alias("no"), F.col("mark").bitwiseAND(F.lit(65535)).cast("int").alias("pos"))
-    postings = saved(postings.join(details, F.col("no") == F.col("set_no")).drop("set_no").join(hubs, "token"), "line-postings")
-
-    earlier = [F.col("no").alias("other"), F.col("n").alias("n2"), F.col("sig").alias("sig2"), F.col("pos").alias("pos2")]
-    hubs = postings.where("no = hub").select("token", *earlier)
-    pairs = saved(postings.where("no > hub").join(hubs, "token").where(could_match(percent)).select("no", "other").distinct(), "line-pairs")
+
+    def postings(sets: DataFrame) -> DataFrame:
+        return sets.select("n", "sig", F.explode(F.transform("prefix", mark)).alias("p")).select("p.token", "p.mark", "n", "sig")
+
+    def opened(suffix: str = "") -> list[Column]:
+        names = ("other", "n2", "sig2", "pos2") if suffix else ("no", "n", "sig", "pos")
+        mark = F.col("mark" + suffix)
+        found = (F.shiftright(mark, 16), F.col("n" + suffix), F.col("sig" + suffix), mark.bitwiseAND(F.lit(65535)).cast("int"))
+        return [c.alias(x) for c, x in zip(found, names, strict=True)]
+
+    hubs = postings(firsts).groupBy("token").agg(F.min("mark").alias("mark2"), F.max("mark").alias("last")).where("mark2 < last")
+    details = firsts.select(F.col("no").alias("hub"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
+    hubs = hubs.join(details, F.shiftright("mark2", 16) == F.col("hub")).select("token", *opened("2"))
+    met = postings(firsts).select("token", *opened()).join(hubs, "token").where("no > other").where(could_match(percent))
+    pairs = saved(met.select("no", "other").distinct(), "line-pairs")
     decided = saved(similar(pairs, docs, numbers, ranks, percent), "line-decided")
 
-    open_ones = postings.where("no > hub").join(decided, "no", "left_anti")
-    others = postings.where("no > hub").select("token", *earlier)
-    more = open_ones.join(others, (open_ones["token"] == others["token"]) & (F.col("other") < F.col("no")) & could_match(percent))
-    pairs = saved(more.select("no", "other").distinct(), "line-pairs")
+    others = postings(firsts).withColumnsRenamed({"mark": "mark2", "n": "n2", "sig": "sig2"}).select("token", *opened("2"))
+    met = postings(firsts.join(decided, "no", "left_anti")).select("token", *opened()).join(others, "token")
+    pairs = saved(met.where("no > other").where(could_match(percent)).select("no", "other").distinct(), "line-pairs")
     decided = saved(decided.unionByName(similar(pairs, docs, numbers, ranks, percent)), "line-decided")
 
     later = numbers.join(decided.withColumn("gone", F.lit(True)), "no", "left").select(

@@ -51,13 +51,20 @@ def discard(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of `docs` as one struct `row`, so that no name of theirs meets a helper column's."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def words(text: Column) -> Column:
-    """The words of a text; null and blank texts have none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+def split_words(text: Column) -> Column:
+    """The words of a text, cut at ASCII white space; a split at one plain character needs no regular expression."""
+    for blank in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def word_count(text: Column) -> Column:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, numbered, saved, saved_at
+from quarry.llm.common import discard, numbered, packed, saved, saved_at, split_words
 
 BUCKETS = 1 << 13
 LOW = (1 << 50) - 1
@@ -32,19 +32,12 @@ LOW = (1 << 50) - 1
 WIDE = 8
 
 
-def split_words(line: Column) -> Column:
-    """The words of a line, cut at ASCII white space; splitting at one plain character needs no regular expression."""
-    for blank in "\t\x0b\x0c\r":
-        line = F.replace(line, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.split(line, " "), "")
-
-
 def bucket_ranks(docs: DataFrame) -> Column:
     """A constant: for each bucket its rank by rarity over all texts.
 
     Only the 8,192 counts reach the driver.
     """
-    words = docs.select(F.explode(split_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
+    words = docs.select(F.explode(split_words(F.col("text"))).alias("w"))
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 51).cast("int")
     counts = {r.b: r.n for r in words.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}
     ranks = [0] * BUCKETS
@@ -183,23 +176,20 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Every row of `docs` with its text without removed lines, and n_lines, n_removed and (last) the original text."""
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64("text")})
-    texts = keyed.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), "text").where("text IS NOT NULL")
-    gone = removed_lines(texts, percent).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("_gone"))
-    gone = gone.toDF("_g_id", "_g_key", "_gone")
-    at = keyed["_id"].eqNullSafe(gone["_g_id"]) & (keyed["_key"] == gone["_g_key"])
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = keyed.join(gone, at, "left").withColumns(
-        {
-            "_kept": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept),
-            "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-            "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-        }
+    """Every row of `docs` as the struct `row`, with text (the kept lines), n_lines and n_removed."""
+    keyed = docs.select(packed(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
+    texts = keyed.select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), F.col("row.text").alias("text"))
+    gone = removed_lines(texts.where("text IS NOT NULL"), percent)
+    gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone"))
+    at = keyed["id"].eqNullSafe(gone["doc_id"]) & (keyed["key"] == gone["text_key"])
+    lines = F.split("row.text", "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return keyed.join(gone, at, "left").select(
+        "row",
+        F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept).alias("text"),
+        F.coalesce(F.size(F.when(F.col("row.text").isNotNull(), lines)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.when(F.col("gone").isNotNull(), F.col("gone"))), F.lit(0)).cast("long").alias("n_removed"),
     )
-    columns = [F.col("_kept").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, "n_lines", "n_removed")
 
 
 LINE_DEDUP_SQL = """

@@ -26,39 +26,38 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import saved
+from quarry.llm.common import packed, saved, split_words
 
 MEASURES = ("log_words", "symbol_share", "word_length", "distinct_share", "repeat_share")
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """`docs` with _tokens and the measures of each text, columns prefixed by an underscore."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def measured(docs: DataFrame, text: Column) -> DataFrame:
+    """`docs` with _tokens and the measures of the text, columns prefixed by an underscore."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.trim(x)) > 0)
-    parts = F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    base = docs.withColumn("_text", text).withColumns(
+    base = docs.withColumn("_text", text).withColumns({"_words": split_words(F.col("_text")), "_lines": lines})
+    counted = base.withColumns(
         {
-            "_tokens": F.size(parts).cast("long"),
-            "_distinct": F.size(F.array_distinct(F.transform(parts, lambda w: F.xxhash64(w)))),
-            "_n_lines": F.size(lines),
-            "_n_distinct_lines": F.size(F.array_distinct(lines)),
+            "_tokens": F.size("_words").cast("long"),
+            "_distinct": F.size(F.array_distinct("_words")),
+            "_n_lines": F.size("_lines"),
+            "_n_distinct_lines": F.size(F.array_distinct("_lines")),
             "_chars": F.length("_text"),
+            "_word_chars": F.length(F.array_join("_words", "")),
             "_symbols": F.length("_text") - F.length(F.translate("_text", SYMBOLS, "")),
-            "_blanks": F.length("_text") - F.length(F.translate("_text", BLANKS, "")),
         }
-    )
+    ).drop("_text", "_words", "_lines")
     some = F.greatest(F.col("_tokens"), F.lit(1))
-    return base.withColumns(
+    return counted.withColumns(
         {
             "_log_words": F.log1p(F.col("_tokens").cast("double")),
             "_symbol_share": F.sqrt(F.col("_symbols") / F.greatest(F.col("_chars"), F.lit(1))),
-            "_word_length": (F.col("_chars") - F.col("_blanks")) / some,
+            "_word_length": F.col("_word_chars") / some,
             "_distinct_share": F.col("_distinct") / some,
             "_repeat_share": 1 - F.col("_n_distinct_lines") / F.greatest(F.col("_n_lines"), F.lit(1)),
         }
-    ).drop("_text", "_distinct", "_n_lines", "_n_distinct_lines", "_chars", "_symbols", "_blanks")
+    ).drop("_distinct", "_n_lines", "_n_distinct_lines", "_chars", "_word_chars", "_symbols")
 
 
 def classifier(rows: DataFrame, labels: DataFrame, label: str, domains: list) -> list[dict]:
@@ -126,14 +125,13 @@ def mixed(
     steps: int = 40,
     close: float = 1e-4,
 ) -> DataFrame:
-    """Every row of `docs` with tokens, a posterior for each domain (p_<domain>), rate and copies.
+    """Every row of `docs` as the struct `row`, with tokens, a posterior for each domain (p_<domain>), rate and copies.
 
     The targets are `weights` (by domain, summing to one) times `total_tokens`; by default as many tokens as there
     are, or, with a positive floor, as many as let every domain keep its tokens times the floor.
     """
     domains = sorted(weights)
-    keyed = docs.withColumn("_doc_id", F.col("doc_id").cast("long"))
-    narrow = saved(measured(keyed.select("_doc_id", "text")).drop("text"), "mixing-measures")
+    narrow = saved(measured(docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").alias("_t")), F.col("_t")).drop("_t"), "mixing-measures")
     model = classifier(narrow, labels, label, domains)
     names = {f"_p{i}": p for i, p in enumerate(posteriors(model))}
     rows = saved(narrow.select("_tokens", *[p.alias(n) for n, p in names.items()]), "mixing-posteriors")
@@ -141,11 +139,11 @@ def mixed(
         sums = [float(x or 0.0) for x in rows.agg(*[F.sum(F.col("_tokens") * F.col(n)) for n in names]).first()]
         total_tokens = max([sum(sums), *(floor * s / weights[d] for s, d in zip(sums, domains, strict=True) if weights[d] > 0)])
     rate, _ = fitted_rates(rows, [weights[d] * total_tokens for d in domains], floor, steps, close)
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
-    out = measured(keyed).withColumns(names).withColumn("_rate", rate)
+    unit = F.shiftrightunsigned(F.xxhash64("row.doc_id", "row.text"), 11) / F.lit(float(1 << 53))
+    out = measured(docs.select(packed(docs)), F.col("row.text")).withColumns(names).withColumn("_rate", rate)
     copies = F.floor("_rate") + (unit < F.col("_rate") - F.floor("_rate")).cast("long")
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        "row",
         F.col("_tokens").alias("tokens"),
         *[F.round(n, 6).alias(f"p_{d}") for n, d in zip(names, domains, strict=True)],
         F.round("_rate", 6).alias("rate"),
@@ -155,7 +153,5 @@ def mixed(
 
 def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict, label: str = "quality", floor: float = 1.0) -> DataFrame:
     """The rows of `docs`, each as often as its copies say; with a floor of one every row stays at least once."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     many = mixed(docs, labels, weights, label, floor).where("copies > 0")
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")
-    return many.select(*columns, copy).select(*columns)
+    return many.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -27,7 +27,7 @@ def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = mixed(_documents(spark, sf_dir), labels, QUALITY_WEIGHTS)
-    return found.select("doc_id", "tokens", "p_0", "p_1", "rate", "copies")
+    return found.select("row.doc_id", "tokens", "p_0", "p_1", "rate", "copies")
 
 
 def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.lines import line_dedup
 
     return line_dedup(_documents(spark, sf_dir)).select(
-        "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+        "row.doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import partitions, saved
+from quarry.llm.common import packed, partitions, saved
 from quarry.llm.graph import connected_components
 
 RADIUS = 3
@@ -223,7 +223,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The rows of `docs` with one row of each component; equal rows (same doc_id, same text) count as one."""
-    firsts = simhash_components(docs, shingle).where("first").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    on = keyed["doc_id"].cast("long").eqNullSafe(firsts["_id"]) & (keyed["_text_key"] == firsts["_key"])
-    return keyed.join(firsts, on, "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    firsts = simhash_components(docs, shingle).where("first").select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"))
+    keyed = docs.select(packed(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
+    on = keyed["id"].eqNullSafe(firsts["first_id"]) & (keyed["key"] == firsts["first_key"])
+    return keyed.join(firsts, on, "left_semi").dropDuplicates(["id", "key"]).select("row.*")

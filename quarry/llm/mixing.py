@@ -6,10 +6,9 @@ document rates r >= floor are fitted so that the expected tokens of each domain,
 r * tokens * posterior, match the targets in the least-squares sense.
 
 The fit is projected gradient descent. Each step needs the domains' expected totals, one aggregation over the
-narrow table of tokens and posteriors; only those few sums reach the driver. Residuals are divided by each domain's
-unweighted total, which makes one a safe step size (the scaled system's row sums are one). As a document's rate
-depends on its posteriors and on the residuals so far, the rates are a column expression and need no table of their
-own.
+narrow table of tokens and posteriors; only those few sums reach the driver. Steps are scaled by the domains' shared
+tokens over the documents that are free to move, and halved until the largest gap shrinks. As a document's rate
+depends on its posteriors and on the steps so far, the rates are a column expression and need no table of their own.
 
 A rate becomes copies: its integer part, and one more if a hash of the row falls below the fraction, so expected
 totals are kept and the result is reproducible.
@@ -23,6 +22,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,21 +98,40 @@ def posteriors(model: list[dict], least_variance: float = 1e-4) -> list[Column]:
     return [p / total for p in powers]
 
 
-def fitted_rates(rows: DataFrame, targets: list[float], floor: float, steps: int, close: float) -> tuple[Column, list]:
-    """The rate as an expression of _p0, _p1, ..., and the history of relative residuals."""
-    names = [f"_p{i}" for i in range(len(targets))]
-    first = rows.agg(*[F.sum(F.col("_tokens") * F.col(p)).alias(p) for p in names]).first()
-    totals = [max(float(x or 0.0), 1e-9) for x in first]
-    rate, sums, history = F.lit(max(1.0, floor)), [x * max(1.0, floor) for x in totals], []
+def fitted_rates(rows: DataFrame, targets: list[float], floor: float, steps: int, close: float) -> Column:
+    """The rate as an expression of _p0, _p1, ... after up to `steps` scaled projected-gradient steps."""
+    k = len(targets)
+    p, goal = [F.col(f"_p{i}") for i in range(k)], np.array(targets, float)
+
+    def totals(rate: Column) -> np.ndarray:
+        found = rows.agg(*[F.sum(rate * F.col("_tokens") * x) for x in p]).first()
+        return np.array([float(x or 0.0) for x in found])
+
+    def scale(rate: Column, gap: np.ndarray) -> np.ndarray:
+        """Tokens shared by pairs of domains, over the documents that may still move."""
+        free = (rate > floor) | (sum((x * g for x, g in zip(p[1:], gap[1:].tolist(), strict=True)), p[0] * float(gap[0])) < 0)
+        pairs = [F.sum(F.when(free, F.col("_tokens") * p[i] * p[j])) for i in range(k) for j in range(k)]
+        return np.array([float(x or 0.0) for x in rows.agg(*pairs).first()]).reshape(k, k)
+
+    rate = F.lit(max(1.0, floor))
+    gap = totals(rate) - goal
+    size = max(1.0, float(np.abs(goal).max()))
     for _ in range(steps):
-        residuals = [(s - t) / c for s, t, c in zip(sums, targets, totals, strict=True)]
-        history.append(residuals)
-        if max(map(abs, residuals)) < close or len(history) > 1 and max(abs(a - b) for a, b in zip(history[-1], history[-2], strict=True)) < close / 100:
+        if np.abs(gap).max() <= close * size:
+            break
+        shared = scale(rate, gap)
+        move = np.linalg.lstsq(shared + 1e-9 * np.trace(shared) * np.eye(k), gap, rcond=None)[0]
+        for _ in range(6):
+            push = sum((x * m for x, m in zip(p[1:], move[1:].tolist(), strict=True)), p[0] * float(move[0]))
+            new = F.greatest(F.lit(float(floor)), rate - push)
+            new_gap = totals(new) - goal
+            if np.abs(new_gap).max() < np.abs(gap).max():
+                break
+            move = move / 2
+        else:
             break
-        push = sum((F.col(p) * u for p, u in list(zip(names, residuals, strict=True))[1:]), F.col(names[0]) * residuals[0])
-        rate = F.greatest(F.lit(float(floor)), rate - push)
-        sums = [float(x or 0.0) for x in rows.agg(*[F.sum(rate * F.col("_tokens") * F.col(p)) for p in names]).first()]
-    return rate, history
+        rate, gap = new, new_gap
+    return rate
 
 
 def mixed(
@@ -138,7 +157,7 @@ def mixed(
     if total_tokens is None:
         sums = [float(x or 0.0) for x in rows.agg(*[F.sum(F.col("_tokens") * F.col(n)) for n in names]).first()]
         total_tokens = max([sum(sums), *(floor * s / weights[d] for s, d in zip(sums, domains, strict=True) if weights[d] > 0)])
-    rate, _ = fitted_rates(rows, [weights[d] * total_tokens for d in domains], floor, steps, close)
+    rate = fitted_rates(rows, [weights[d] * total_tokens for d in domains], floor, steps, close)
     unit = F.shiftrightunsigned(F.xxhash64("row.doc_id", "row.text"), 11) / F.lit(float(1 << 53))
     out = measured(docs.select(packed(docs)), F.col("row.text")).withColumns(names).withColumn("_rate", rate)
     copies = F.floor("_rate") + (unit < F.col("_rate") - F.floor("_rate")).cast("long")

@@ -4,8 +4,9 @@ A line's tokens are its distinct words. Two lines match when the Jaccard similar
 threshold; a line is removed if it matches an earlier line of the corpus (smaller doc_id, or the same document and
 a smaller line number), whether that line stays or not.
 
-Tokens are ordered by rarity: words fall into 8,192 buckets by hash, and buckets are ranked by their counts over
-the whole corpus, rarest first (any fixed order is exact; this one makes prefixes selective). A line's prefix holds
+Tokens are ordered by rarity: words fall into 8,192 buckets by length and hash, and buckets are ranked by the mean
+frequency of their words over the whole corpus, rarest first (any fixed order is exact; this one makes prefixes
+selective). A line's prefix holds
 its rarest tokens, as many as a match must share one of. Prefix tokens that two lines share meet under the length
 filter, the positional filter and a bitmap bound on the sets' difference; the full sets then decide.
 
@@ -32,28 +33,38 @@ LOW = (1 << 50) - 1
 WIDE = 8
 
 
+def bucket(word: Column, h: Column) -> Column:
+    """A word's bucket: its length (31 at most) and the upper 8 bits of its hash."""
+    size = F.least(F.length(word), F.lit(31)).cast("int")
+    return F.shiftleft(size, 8).bitwiseOR(F.shiftrightunsigned(h, 56).cast("int"))
+
+
 def bucket_ranks(docs: DataFrame) -> Column:
-    """A constant: for each bucket its rank by rarity over all texts.
+    """A constant: for each bucket its rank by rarity, the mean frequency of its distinct words over all texts.
 
-    Only the 8,192 counts reach the driver.
+    Only the 8,192 buckets' figures reach the driver; the number of distinct words is an estimate, which can change
+    the order (any order is exact) but not the result.
     """
-    words = docs.select(F.explode(split_words(F.col("text"))).alias("w"))
-    bucket = F.shiftrightunsigned(F.xxhash64("w"), 51).cast("int")
-    counts = {r.b: r.n for r in words.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}
+    words = docs.select(F.explode(split_words(F.col("text"))).alias("w")).select("w", F.xxhash64("w").alias("h"))
+    figures = words.groupBy(bucket(F.col("w"), F.col("h")).alias("b")).agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d"))
+    mean = {r.b: r.n / max(r.d, 1) for r in figures.collect()}
     ranks = [0] * BUCKETS
-    for place, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))):
+    for place, b in enumerate(sorted(range(BUCKETS), key=lambda b: (mean.get(b, 0), b))):
         ranks[b] = place
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded to a literal when planned
 
 
 def line_tokens(line: Column, ranks: Column) -> Column:
-    """The distinct words of a line as sort keys, rarest first: the bucket's rank, then the rest of the hash.
+    """The distinct words of a line as sort keys, rarest first: the bucket's rank, then the low 50 bits of the hash.
 
-    The bucket is the hash's upper 13 bits and ranks are a permutation, so a key stands for 63 bits of the hash.
+    A key stands for the word's length and 58 bits of its hash.
     """
-    hashes = F.transform(split_words(line), lambda w: F.xxhash64(w))
-    rank = lambda h: F.shiftleft(F.get(ranks, F.shiftrightunsigned(h, 51).cast("int")), 50)
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: rank(h).bitwiseOR(h.bitwiseAND(F.lit(LOW))))))
+
+    def key(word: Column) -> Column:
+        h = F.xxhash64(word)
+        return F.shiftleft(F.get(ranks, bucket(word, h)), 50).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
+
+    return F.sort_array(F.array_distinct(F.transform(split_words(line), key)))
 
 
 def signature(tokens: Column, words: int = 1) -> list[Column]:

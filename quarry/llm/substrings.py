@@ -123,7 +123,7 @@ def word_runs(words: np.ndarray) -> Arrays:
     left, right, at = bounds[start].T
     level = anchor[start] % (ROUNDS + 1)
     names = content_hashes(words, left, right, level)
-    return start, n, names, content_hashes(words, start, start + n - 1 + WINDOW, at - start)
+    return start, n, at - start, names, content_hashes(words, start, start + n - 1 + WINDOW, at - start)
 
 
 def word_result(text: str, cuts: list[tuple[int, int]]) -> tuple:

@@ -5,8 +5,8 @@ Doubling from single bytes to 32 bytes happens inside each document, with 64-bit
 equal names in all documents without any exchange). Ranking every byte position by global sorts would shuffle each
 byte many times over, so the positions that Spark ranks are sampled by content: of the 69 positions in a 100-byte
 window at which 32 bytes fit, the one with the least name (the leftmost on ties) stands for the window. Spark reranks
-these positions at growing lengths: by their 32 bytes, where unique positions drop out, then by all bytes that the
-position's windows cover, past the threshold of 100, and last by single windows where those still differ.
+these positions at growing lengths, and unique ones drop out each time: by their 32 bytes, then by all bytes that the
+position's windows cover, past the threshold of 100, and where those differ by 88 bytes and by single windows.
 
 Defined results: null and empty texts have no bytes; texts shorter than 100 bytes lose nothing; long texts are
 scanned whole; rows of one doc_id with different texts are documents of their own, ordered by a hash of the text,
@@ -63,7 +63,7 @@ def byte_runs(data: np.ndarray) -> Arrays:
     anchors = least_places(names, WIDE)
     start, n = grouped_runs(anchors)
     anchor = anchors[start].astype(np.int64)
-    return start, n, names[anchor], content_hashes(data, start, start + n - 1 + WINDOW, anchor - start)
+    return start, n, anchor - start, names[anchor], content_hashes(data, start, start + n - 1 + WINDOW, anchor - start)
 
 
 def byte_result(text: str, cuts: list[tuple[int, int]]) -> tuple:

@@ -9,8 +9,10 @@ Rounds over Spark tables then narrow the candidates:
 
 1. names that occur once cannot hold a repeat, and their runs drop out;
 2. runs with equal (name, span) have equal windows, one by one: all but the first occurrence are settled at once;
-3. where runs of one name differ (at the edges of a repeat), the first run of each span lists its windows' own
-   names, and equal ones are settled by their first occurrence.
+3. where runs of one name differ (at the edges of a repeat), the first run of each span is cut into pieces by the
+   anchor's place in the window; a piece's name stands for the content that all its windows hold, nearly a window
+   long, and pieces whose name occurs once drop out;
+4. the windows of the remaining pieces are named one by one, and equal ones settled by their first occurrence.
 
 Equality rests on pairs of 64-bit hashes of content. Hot names and spans are pre-aggregated before each shuffle, and
 joins back to the rows are plain equi-joins, which Spark splits where a key is hot. Nothing is sampled or capped.
@@ -29,14 +31,17 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import discard, saved, saved_at
 
-Arrays = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Arrays = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Pieces that a window's places for its anchor are cut into.
+PIECES = 8
 
 
 @dataclass(frozen=True)
 class Method:
     """What an operator brings: its units, its window length and its runs.
 
-    `units(text)` gives an array of a text's units; `runs(units)` gives starts, numbers of windows, names and spans;
+    `units(text)` gives an array of a text's units; `runs(units)` gives starts, numbers of windows, the anchor's place
+    counted from the start, names and spans;
     `result(text, intervals)` gives the operator's output columns from the merged intervals of removed units.
     `within` says whether an earlier start in the same document counts as earlier.
     """
@@ -80,7 +85,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def all_runs(docs: DataFrame, method: Method) -> DataFrame:
-    names = ["doc_id", "text_key", "start", "n", "name", "span"]
+    names = ["doc_id", "text_key", "start", "n", "anchor", "name", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,37 +99,60 @@ def all_runs(docs: DataFrame, method: Method) -> DataFrame:
             if not found:
                 continue
             rows = np.repeat(np.arange(len(counts)), counts)
-            start, n, name, span = (np.concatenate(x) for x in zip(*found, strict=True))
+            start, n, anchor, name, span = (np.concatenate(x) for x in zip(*found, strict=True))
             columns = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "text_key")]
-            columns += [pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
+            columns += [pa.array(x.astype(np.int32)) for x in (start, n, anchor)]
             columns += [pa.array(name.view(np.int64)), pa.array(span.view(np.int64))]
             yield from pa.Table.from_arrays(columns, names).to_batches(max_chunksize=1 << 17)
 
-    return docs.mapInArrow(run, "doc_id long, text_key int, start int, n int, name long, span long")
-
-
-def window_names(runs: DataFrame, docs: DataFrame, method: Method) -> DataFrame:
-    """(doc_id, text_key, name, start, whole) for every window of the given runs; `whole` hashes its content."""
-    lists = runs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n", "name")).alias("runs"))
+    return docs.mapInArrow(run, "doc_id long, text_key int, start int, n int, anchor int, name long, span long")
+
+
+def pieces(start: np.ndarray, n: np.ndarray, anchor: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Runs cut by the anchor's place in the window: run number, first window, windows, and bounds of shared content."""
+    rows, starts, counts, low, high = [], [], [], [], []
+    for k in range(PIECES):
+        # Windows that start between `near` and `far` before the anchor, both included.
+        near, far = -(-k * window // PIECES), -(-(k + 1) * window // PIECES) - 1
+        at = start + anchor
+        first, last = np.maximum(start, at - far), np.minimum(start + n - 1, at - near)
+        some = np.flatnonzero(first <= last)
+        rows.append(some)
+        starts.append(first[some])
+        counts.append((last - first + 1)[some])
+        low.append(at[some] - near)
+        high.append(at[some] - far + window)
+    return tuple(np.concatenate(x).astype(np.int64) for x in (rows, starts, counts, low, high))
+
+
+def named(runs: DataFrame, docs: DataFrame, method: Method, single: bool) -> DataFrame:
+    """(doc_id, text_key, name, start, n, whole): the runs' pieces, or single windows; `whole` hashes their content."""
+    lists = runs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n", "anchor", "name")).alias("runs"))
     lists = lists.toDF("_id", "_key", "runs")
     at = docs["doc_id"].eqNullSafe(lists["_id"]) & (docs["text_key"] == lists["_key"])
     texts = docs.join(lists, at).select("doc_id", "text_key", "text", "runs")
-    names = ["doc_id", "text_key", "name", "start", "whole"]
+    names = ["doc_id", "text_key", "name", "start", "n", "anchor", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 units = method.units(batch.column("text")[i].as_py())
                 part = batch.column("runs")[i].values
-                first, n, name = (part.field(k).to_numpy() for k in range(3))
-                start = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                whole = content_hashes(units, start.astype(np.int64), start.astype(np.int64) + method.window, np.zeros(len(start), np.int64))
-                rows = pa.array(np.full(len(start), i))
-                columns = [batch.column(c).take(rows) for c in ("doc_id", "text_key")]
-                columns += [pa.array(np.repeat(name, n)), pa.array(start.astype(np.int32)), pa.array(whole.view(np.int64))]
+                first, n, anchor, name = (part.field(k).to_numpy() for k in range(4))
+                if single:
+                    row = np.repeat(np.arange(len(n)), n)
+                    start = (first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int64)
+                    count, low, high = np.ones(len(row), np.int64), start, start + method.window
+                else:
+                    row, start, count, low, high = pieces(first, n, anchor, method.window)
+                place = (first + anchor)[row] - start
+                whole = content_hashes(units, low, high, (first + anchor)[row].astype(np.int64) - low)
+                columns = [batch.column(c).take(pa.array(np.full(len(row), i))) for c in ("doc_id", "text_key")]
+                columns += [pa.array(name[row]), *(pa.array(x.astype(np.int32)) for x in (start, count, place))]
+                columns += [pa.array(whole.view(np.int64))]
                 yield from pa.Table.from_arrays(columns, names).to_batches(max_chunksize=1 << 17)
 
-    return texts.mapInArrow(run, "doc_id long, text_key int, name long, start int, whole long")
+    return texts.mapInArrow(run, "doc_id long, text_key int, name long, start int, n int, anchor int, whole long")
 
 
 def _place(within: bool) -> list:
@@ -159,7 +187,9 @@ def repeats(docs: DataFrame, method: Method) -> DataFrame:
         "doc_id", "text_key", "start", (F.col("start") + F.col("n") - 1 + method.window).alias("end")
     )
 
-    windows = saved(window_names(marked.where("own AND split"), docs, method), "windows")
+    cut = saved(named(marked.where("own AND split"), docs, method, single=False), "pieces")
+    again = cut.groupBy("name", "whole").agg(F.count("*").alias("uses")).where("uses > 1").select("name", "whole")
+    windows = saved(named(cut.join(again, ["name", "whole"]), docs, method, single=True), "windows")
     least = windows.groupBy("name", "whole").agg(F.min(place).alias("first"), F.count("*").alias("uses")).where("uses > 1")
     single = windows.join(least, ["name", "whole"]).where(~place.eqNullSafe(F.col("first")))
     single = single.select("doc_id", "text_key", "start", (F.col("start") + method.window).alias("end"))

@@ -81,11 +81,11 @@ def agg_daily_min(t: Tables) -> DataFrame:
 @query(
     "agg_daily_min_fx",
     """SELECT country, product_id, day, min(price) AS price FROM prices JOIN merchants USING (merchant_id)
-    WHERE NOT local AND price > 0 AND country = 'FRANCE' GROUP BY ALL""",
+    WHERE NOT local AND price > 0 AND country = 'NATION_7' GROUP BY ALL""",
     dates="day",
 )
 def agg_daily_min_fx(t: Tables) -> DataFrame:
-    abroad = F.broadcast(t.merchants.where("NOT local AND country = 'FRANCE'").select("merchant_id", "country"))
+    abroad = F.broadcast(t.merchants.where("NOT local AND country = 'NATION_7'").select("merchant_id", "country"))
     return t.prices.where("price > 0").join(abroad, "merchant_id").groupBy("country", "product_id", "day").agg(F.min("price").alias("price"))
 
 

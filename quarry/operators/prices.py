@@ -85,14 +85,15 @@ def ts_history_view(t: Tables) -> DataFrame:
 
 @query(
     "ts_variant_merge",
-    """WITH d AS (SELECT product_id, merchant_id, day, min(price) AS price FROM prices GROUP BY ALL),
+    """WITH d AS (SELECT product_id, merchant_id % 2 AS merchant_id, date_trunc('month', day)::DATE AS day, min(price) AS price FROM prices GROUP BY ALL),
     n AS (SELECT product_id, count(DISTINCT merchant_id) AS offers FROM d GROUP BY 1)
     SELECT d.product_id, day, min(price) AS price FROM d JOIN n USING (product_id) GROUP BY d.product_id, day, offers HAVING count(*) = offers""",
     dates="day",
 )
 def ts_variant_merge(t: Tables) -> DataFrame:
-    """Days on which every offer of a product has a price, with the lowest of them."""
-    daily = t.prices.groupBy("product_id", "merchant_id", "day").agg(F.min("price").alias("price"))
+    """Months in which every group of offers of a product has a price, with the lowest of them."""
+    month, group = F.trunc("day", "month").alias("day"), (F.col("merchant_id") % 2).alias("merchant_id")
+    daily = t.prices.groupBy("product_id", group, month).agg(F.min("price").alias("price"))
     offers = daily.groupBy("product_id").agg(F.countDistinct("merchant_id").alias("offers"))
     merged = daily.groupBy("product_id", "day").agg(F.min("price").alias("price"), F.count("*").alias("n"))
     return merged.join(offers, "product_id").where("n = offers").select("product_id", "day", "price")

@@ -41,7 +41,7 @@ def products(part: DataFrame) -> DataFrame:
         F.col("p_partkey").alias("product_id"),
         F.col("p_name").alias("title"),
         F.col("p_brand").alias("brand"),
-        F.lower(F.replace("p_type", F.lit(" "), F.lit("/"))).alias("path"),
+        F.concat(F.lower("p_type"), F.lit("/"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("path"),
         F.col("p_size").alias("size"),
         half_up(F.col("p_retailprice") * 100).alias("catalog_price"),
     )
@@ -67,7 +67,7 @@ SQL = {
     "offers": """SELECT product_id, merchant_id, day, point_id, price, list_price, in_stock FROM prices
   QUALIFY row_number() OVER (PARTITION BY product_id, merchant_id ORDER BY day DESC, point_id DESC) = 1""",
     "products": """SELECT p_partkey AS product_id, p_name AS title, p_brand AS brand,
-  lower(replace(p_type, ' ', '/')) AS path, p_size AS size, floor(p_retailprice * 100 + 0.5)::BIGINT AS catalog_price FROM part""",
+  lower(p_type) || '/' || split_part(p_name, ' ', 2) AS path, p_size AS size, floor(p_retailprice * 100 + 0.5)::BIGINT AS catalog_price FROM part""",
     "merchants": """SELECT s_suppkey AS merchant_id, s_name AS merchant, n_name AS country, n_regionkey <= 1 AS local,
   s_suppkey * 7 % 61 + 40 AS trust, s_acctbal > 0 AS active FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
 }

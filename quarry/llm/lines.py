@@ -22,6 +22,9 @@ columns pass through; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ from quarry.llm.common import discard, numbered, packed, saved, saved_at, split_
 
 BUCKETS = 1 << 13
 LOW = (1 << 50) - 1
+#: Slices of the tokens whose postings meet one after the other.
+SLICES = 4
 #: Bitmaps of 64 bits in the second bound.
 WIDE = 8
 
@@ -153,8 +158,15 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # A posting is a prefix token with its set's number and, in 16 bits, its position (a capped position filters less).
     mark = lambda t, i: F.struct(t.alias("token"), F.shiftleft("no", 16).bitwiseOR(F.least(i, F.lit(65535)).cast("long")).alias("mark"))
 
-    def postings(sets: DataFrame) -> DataFrame:
-        return sets.select("n", "sig", F.explode(F.transform("prefix", mark)).alias("p")).select("p.token", "p.mark", "n", "sig")
+    def postings(sets: DataFrame, part: int) -> DataFrame:
+        """The postings of one slice of the tokens."""
+        rows = sets.select("n", "sig", F.explode(F.transform("prefix", mark)).alias("p"))
+        return rows.where(F.pmod(F.col("p.token"), F.lit(SLICES)) == part).select("p.token", "p.mark", "n", "sig")
+
+    def sliced(meet: Callable[[int], DataFrame]) -> DataFrame:
+        """The pairs of all slices; a slice's shuffle is gone before the next one's, so little disk is used at once."""
+        parts = [saved(meet(k).where(could_match(percent)).select("no", "other").distinct(), "line-pairs") for k in range(SLICES)]
+        return functools.reduce(DataFrame.unionByName, parts).distinct()
 
     def opened(suffix: str = "") -> list[Column]:
         names = ("other", "n2", "sig2", "pos2") if suffix else ("no", "n", "sig", "pos")
@@ -162,16 +174,22 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         found = (F.shiftright(mark, 16), F.col("n" + suffix), F.col("sig" + suffix), mark.bitwiseAND(F.lit(65535)).cast("int"))
         return [c.alias(x) for c, x in zip(found, names, strict=True)]
 
-    hubs = postings(firsts).groupBy("token").agg(F.min("mark").alias("mark2"), F.max("mark").alias("last")).where("mark2 < last")
     details = firsts.select(F.col("no").alias("hub"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
-    hubs = hubs.join(details, F.shiftright("mark2", 16) == F.col("hub")).select("token", *opened("2"))
-    met = postings(firsts).select("token", *opened()).join(hubs, "token").where("no > other").where(could_match(percent))
-    pairs = saved(met.select("no", "other").distinct(), "line-pairs")
+
+    def with_hub(part: int) -> DataFrame:
+        hubs = postings(firsts, part).groupBy("token").agg(F.min("mark").alias("mark2"), F.max("mark").alias("last")).where("mark2 < last")
+        hubs = hubs.join(details, F.shiftright("mark2", 16) == F.col("hub")).select("token", *opened("2"))
+        return postings(firsts, part).select("token", *opened()).join(hubs, "token").where("no > other")
+
+    pairs = saved(sliced(with_hub), "line-pairs")
     decided = saved(similar(pairs, docs, numbers, ranks, percent), "line-decided")
+    undecided = saved(firsts.join(decided, "no", "left_anti"), "line-open")
+
+    def with_all(part: int) -> DataFrame:
+        others = postings(firsts, part).withColumnsRenamed({"mark": "mark2", "n": "n2", "sig": "sig2"}).select("token", *opened("2"))
+        return postings(undecided, part).select("token", *opened()).join(others, "token").where("no > other")
 
-    others = postings(firsts).withColumnsRenamed({"mark": "mark2", "n": "n2", "sig": "sig2"}).select("token", *opened("2"))
-    met = postings(firsts.join(decided, "no", "left_anti")).select("token", *opened()).join(others, "token")
-    pairs = saved(met.where("no > other").where(could_match(percent)).select("no", "other").distinct(), "line-pairs")
+    pairs = saved(sliced(with_all), "line-pairs")
     decided = saved(decided.unionByName(similar(pairs, docs, numbers, ranks, percent)), "line-decided")
 
     later = numbers.join(decided.withColumn("gone", F.lit(True)), "no", "left").select(

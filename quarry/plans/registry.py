@@ -22,7 +22,9 @@ MODULES = (
     "quarry.operators.analytics",
     "quarry.operators.evaluation",
     "quarry.operators.matching",
+    "quarry.operators.catalog",
     "quarry.functions.text",
+    "quarry.functions.identifiers",
 )
 
 

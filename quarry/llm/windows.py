@@ -171,7 +171,8 @@ def repeats(docs: DataFrame, method: Method) -> DataFrame:
     if not method.within:
         other += " OR (nulls > 0 AND low IS NOT NULL)"
         uses.append(F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-    shared = runs.groupBy("name").agg(*uses).where(other).select("name")
+    # Written first, so the join below has plain shuffles on both sides, which Spark splits where a name is hot.
+    shared = saved(runs.groupBy("name").agg(*uses).where(other).select("name"), "shared-names")
     some = saved(runs.join(shared, "name"), "shared-runs")
     discard(spark, path)
 

@@ -170,7 +170,12 @@ def mixed(
     )
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict, label: str = "quality", floor: float = 1.0) -> DataFrame:
-    """The rows of `docs`, each as often as its copies say; with a floor of one every row stays at least once."""
-    many = mixed(docs, labels, weights, label, floor).where("copies > 0")
+def mix_documents(
+    docs: DataFrame, labels: DataFrame, weights: dict, label: str = "quality", floor: float = 1.0, steps: int = 6
+) -> DataFrame:
+    """The rows of `docs`, each as often as its copies say; with a floor of one every row stays at least once.
+
+    A floor above zero can keep the targets out of reach; `steps` then bounds the search.
+    """
+    many = mixed(docs, labels, weights, label, floor, steps=steps).where("copies > 0")
     return many.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -5,10 +5,12 @@ measures, fitted with one aggregation on all labelled rows, gives every document
 document rates r >= floor are fitted so that the expected tokens of each domain, the sum over documents of
 r * tokens * posterior, match the targets in the least-squares sense.
 
-The fit is projected gradient descent. Each step needs the domains' expected totals, one aggregation over the
-narrow table of tokens and posteriors; only those few sums reach the driver. Steps are scaled by the domains' shared
-tokens over the documents that are free to move, and halved until the largest gap shrinks. As a document's rate
-depends on its posteriors and on the steps so far, the rates are a column expression and need no table of their own.
+The fit is projected gradient descent. Each step needs two aggregations over the narrow table of tokens and
+posteriors; only a few sums reach the driver. Steps are scaled by the domains' shared tokens over the documents that
+are free to move; of the whole step, its halves and a plain gradient step the one with the least squared gap is
+taken, so every step gains. The fit ends when the targets are met or a plain step could not close a tenth of `close`.
+Every few steps the rates are written to a table, so no expression grows; a document's final rate is the fold of all
+steps over its posteriors.
 
 A rate becomes copies: its integer part, and one more if a hash of the row falls below the fraction, so expected
 totals are kept and the result is reproducible.
@@ -20,16 +22,20 @@ are not learned from; repeated rows get equal rates; extra columns pass through;
 
 from __future__ import annotations
 
+import functools
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import packed, saved, split_words
+from quarry.llm.common import discard, packed, saved, saved_at, split_words
 
 MEASURES = ("log_words", "symbol_share", "word_length", "distinct_share", "repeat_share")
 SYMBOLS = "#*$%&|<>"
+#: Steps of the fit between two writes of the rates.
+SAVE_EVERY = 8
 
 
 def measured(docs: DataFrame, text: Column) -> DataFrame:
@@ -98,40 +104,72 @@ def posteriors(model: list[dict], least_variance: float = 1e-4) -> list[Column]:
     return [p / total for p in powers]
 
 
+def stepped(rate: Column, moves: list[np.ndarray], floor: float) -> Column:
+    """The rate after all moves, each with the floor as its bound, as a fold.
+
+    The moves are a constant array and no part of generated code, so one compiled class serves every step.
+    """
+    if not moves:
+        return rate
+    k = len(moves[0])
+    values = F.split(F.lit(",".join(repr(float(x)) for m in moves for x in m)), ",").cast("array<double>")
+    push = lambda i: functools.reduce(lambda x, y: x + y, [F.col(f"_p{j}") * F.get(values, i + j) for j in range(k)])
+    each = F.sequence(F.lit(0), F.lit(k * (len(moves) - 1)), F.lit(k))
+    return F.aggregate(each, rate, lambda r, i: F.greatest(F.lit(float(floor)), r - push(i)))
+
+
 def fitted_rates(rows: DataFrame, targets: list[float], floor: float, steps: int, close: float) -> Column:
-    """The rate as an expression of _p0, _p1, ... after up to `steps` scaled projected-gradient steps."""
-    k = len(targets)
-    p, goal = [F.col(f"_p{i}") for i in range(k)], np.array(targets, float)
-
-    def totals(rate: Column) -> np.ndarray:
-        found = rows.agg(*[F.sum(rate * F.col("_tokens") * x) for x in p]).first()
-        return np.array([float(x or 0.0) for x in found])
-
-    def scale(rate: Column, gap: np.ndarray) -> np.ndarray:
-        """Tokens shared by pairs of domains, over the documents that may still move."""
-        free = (rate > floor) | (sum((x * g for x, g in zip(p[1:], gap[1:].tolist(), strict=True)), p[0] * float(gap[0])) < 0)
-        pairs = [F.sum(F.when(free, F.col("_tokens") * p[i] * p[j])) for i in range(k) for j in range(k)]
-        return np.array([float(x or 0.0) for x in rows.agg(*pairs).first()]).reshape(k, k)
-
-    rate = F.lit(max(1.0, floor))
-    gap = totals(rate) - goal
+    """The rate as an expression of _p0, _p1, ... when the fit has converged; a fit that meets the bound `steps` first warns."""
+    k, goal = len(targets), np.array(targets, float)
+    names = [f"_p{i}" for i in range(k)]
+
+    def sums(rows: DataFrame, columns: list[Column]) -> np.ndarray:
+        return np.array([float(x or 0.0) for x in rows.agg(*[F.sum(c) for c in columns]).first()])
+
+    def spent(rate: Column) -> list[Column]:
+        return [rate * F.col("_tokens") * F.col(n) for n in names]
+
+    start = F.lit(max(1.0, float(floor)))
+    both = [F.col("_tokens") * F.col(f"_p{i}") * F.col(f"_p{j}") for i in range(k) for j in range(k)]
+    rate, path = start, None
+    moves: list[np.ndarray] = []
+    pending: list[np.ndarray] = []
+    found = sums(rows, [*spent(start), *both])
+    gap = found[:k] - goal
+    steepest = float(np.linalg.eigvalsh(found[k:].reshape(k, k))[-1])
     size = max(1.0, float(np.abs(goal).max()))
-    for _ in range(steps):
-        if np.abs(gap).max() <= close * size:
+    while np.abs(gap).max() > close * size:
+        if len(moves) == steps:
+            warnings.warn(f"mixing: {steps} steps did not converge, gap {np.abs(gap).max() / size:.6f} of the largest target", stacklevel=2)
             break
-        shared = scale(rate, gap)
-        move = np.linalg.lstsq(shared + 1e-9 * np.trace(shared) * np.eye(k), gap, rcond=None)[0]
-        for _ in range(6):
-            push = sum((x * m for x, m in zip(p[1:], move[1:].tolist(), strict=True)), p[0] * float(move[0]))
-            new = F.greatest(F.lit(float(floor)), rate - push)
-            new_gap = totals(new) - goal
-            if np.abs(new_gap).max() < np.abs(gap).max():
-                break
-            move = move / 2
-        else:
+        now = rows.withColumn("_now", stepped(rate, pending, floor))
+        now = now.withColumn("_apart", F.col("_now") - stepped(F.col("_now"), [gap / steepest], floor))
+        free = (F.col("_now") > floor) | (F.col("_apart") < 0)
+        *shared, reach = sums(now, [*[F.when(free, x) for x in both], F.col("_tokens") * F.col("_apart") * F.col("_apart")])
+        if np.sqrt(steepest * reach) <= 0.1 * close * size:  # what a plain step can still close
             break
-        rate, gap = new, new_gap
-    return rate
+        shared = np.array(shared).reshape(k, k)
+        newton = np.linalg.lstsq(shared + 1e-9 * np.trace(shared) * np.eye(k), gap, rcond=None)[0]
+        tried = [newton / 2**i for i in range(7)] + [gap / steepest]  # the last, a plain step, always lessens the loss
+        trials = now.select("*", *[stepped(F.col("_now"), [m], floor).alias(f"_r{i}") for i, m in enumerate(tried)])
+        totals = sums(trials, [x for i in range(len(tried)) for x in spent(F.col(f"_r{i}"))])
+        gaps = totals.reshape(len(tried), k) - goal
+        losses = (gaps * gaps).sum(axis=1)
+        best = int(losses.argmin())
+        if losses[best] >= gap @ gap:  # only rounding is left
+            break
+        moves.append(tried[best])
+        pending.append(moves[-1])
+        gap = gaps[best]
+        if len(pending) == SAVE_EVERY:
+            spark, old = rows.sparkSession, path
+            rows, path = saved_at(rows.select("_tokens", *names, stepped(rate, pending, floor).alias("_rate")), "mixing-rates")
+            rate, pending = F.col("_rate"), []
+            if old:
+                discard(spark, old)
+    if path:
+        discard(rows.sparkSession, path)
+    return stepped(start, moves, floor)
 
 
 def mixed(
@@ -170,12 +208,7 @@ def mixed(
     )
 
 
-def mix_documents(
-    docs: DataFrame, labels: DataFrame, weights: dict, label: str = "quality", floor: float = 1.0, steps: int = 6
-) -> DataFrame:
-    """The rows of `docs`, each as often as its copies say; with a floor of one every row stays at least once.
-
-    A floor above zero can keep the targets out of reach; `steps` then bounds the search.
-    """
-    many = mixed(docs, labels, weights, label, floor, steps=steps).where("copies > 0")
+def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict, label: str = "quality", floor: float = 1.0) -> DataFrame:
+    """The rows of `docs`, each as often as its copies say; with a floor of one every row stays at least once."""
+    many = mixed(docs, labels, weights, label, floor).where("copies > 0")
     return many.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

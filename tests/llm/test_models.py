@@ -1,5 +1,6 @@
 """The classifier, the mixing fit, the top-k search and the pipeline."""
 
+import inspect
 import random
 from collections import Counter
 
@@ -80,6 +81,29 @@ def test_mixing_meets_targets(marked):
     assert mixing.mixed(docs, labels.limit(0), {0: 0.5, 1: 0.5}).count() == len(rows)
 
 
+def test_mixing_stops_only_when_converged(spark):
+    rng = np.random.default_rng(0)
+    tokens = np.floor(np.exp(rng.normal(5, 1.5, 300))) + 1
+    p = 1 / (1 + np.exp(rng.normal(-1, 20, 300)))
+    p = np.stack([1 - p, p], axis=1)
+    own = p.T @ tokens
+    goal = np.array([0.1, 0.9]) * max(own.sum(), *(own / [0.1, 0.9]))
+    rows = spark.createDataFrame([(int(t), float(a), float(b)) for t, (a, b) in zip(tokens, p, strict=True)], "_tokens long, _p0 double, _p1 double").coalesce(1)
+    fit = inspect.signature(mixing.mix_documents).parameters.get("steps") or inspect.signature(mixing.mixed).parameters["steps"]
+    rate = mixing.fitted_rates(rows, goal.tolist(), 1.0, fit.default, 1e-4)
+    rate = np.array([r[0] for r in rows.select(rate).collect()])
+    assert rate.min() >= 1
+    # Brute force: the projected gradient in numpy has next to nothing left to gain, and a long plain descent ends no lower.
+    steepest = np.linalg.eigvalsh((p * tokens[:, None]).T @ p)[-1]
+    gap = p.T @ (rate * tokens) - goal
+    apart = rate - np.maximum(1, rate - p @ gap / steepest)
+    assert np.abs(gap).max() <= 1e-4 * goal.max() or np.sqrt(steepest * (tokens * apart**2).sum()) <= 1.001e-5 * goal.max()
+    plain = np.ones(300)
+    for _ in range(2000):
+        plain = np.maximum(1, plain - p @ (p.T @ (plain * tokens) - goal) / steepest)
+    assert np.linalg.norm(gap) <= 1.01 * np.linalg.norm(p.T @ (plain * tokens) - goal)
+
+
 @pytest.mark.parametrize("block_rows", [64, 4096])
 def test_top_k_is_exact(spark, block_rows):
     rng = np.random.default_rng(4)

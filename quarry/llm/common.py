@@ -60,11 +60,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def split_words(text: Column) -> Column:
-    """The words of a text, cut at ASCII white space; a split at one plain character needs no regular expression."""
-    for blank in "\t\n\x0b\x0c\r":
-        text = F.replace(text, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.split(text, " "), "")
+def split_words(text: Column, line: bool = False) -> Column:
+    """The words of a text (or of one line of it), cut at ASCII white space.
+
+    A split at one plain character needs no regular expression, and texts without rare blanks skip their replacement.
+    """
+    rare = [F.contains(text, F.lit(blank)) for blank in "\t\x0b\x0c\r"]
+    plain = text if line else F.replace(text, F.lit("\n"), F.lit(" "))
+    folded = plain
+    for blank in "\t\x0b\x0c\r":
+        folded = F.replace(folded, F.lit(blank), F.lit(" "))
+    some = rare[0] | rare[1] | rare[2] | rare[3]
+    return F.array_remove(F.split(F.when(some, folded).otherwise(plain), " "), "")
 
 
 def word_count(text: Column) -> Column:

@@ -4,15 +4,18 @@ A line's tokens are its distinct words. Two lines match when the Jaccard similar
 threshold; a line is removed if it matches an earlier line of the corpus (smaller doc_id, or the same document and
 a smaller line number), whether that line stays or not.
 
-Tokens are ordered by rarity: words fall into 8,192 buckets by length and hash, and buckets are ranked by the mean
-frequency of their words over the whole corpus, rarest first (any fixed order is exact; this one makes prefixes
-selective). A line's prefix holds
-its rarest tokens, as many as a match must share one of. Prefix tokens that two lines share meet under the length
-filter, the positional filter and a bitmap bound on the sets' difference; the full sets then decide.
+Equal lines become one candidate, numbered by its first place. Tokens are ordered by rarity: the words of all
+candidates are counted in `BUCKETS` counters chosen by hash (a frequent word has a full counter, a rare one a nearly
+empty one, so the table of counters is of fixed size whatever the corpus), and a token's sort key is its counter's
+logarithm, then its hash. Any fixed order is exact; this one puts the rarest tokens first. A line's prefix holds as
+many of its first tokens as a match must share one of. Prefix tokens that two candidates share meet under the length
+filter, the positional filter and a bitmap bound on the sets' difference; the words of both lines then decide.
 
-Hot groups: lines with one token set are one candidate, whatever their number. Candidates meet in two steps. First
-each meets only the earliest candidate of every posting list, which settles nearly all members of a large group of
-near-copies; only those still undecided are compared with all earlier candidates of their lists.
+Hot groups: candidates meet in two steps. First each meets only the earliest candidate of every posting list, which
+settles nearly all members of a large group of near-copies; only those still undecided are compared with all earlier
+candidates of their lists. Spark splits the joins where a token is hot.
+
+Candidates come from 64-bit token keys and equal lines from 128 bits of hash; similarity is decided on words.
 
 Defined results: blank lines have no tokens and always stay; null and empty texts stay as they are; a document whose
 lines all go keeps its row, with an empty text; rows of one doc_id are told apart by their text, and fully equal
@@ -25,66 +28,44 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import discard, numbered, packed, saved, saved_at, split_words
 
-BUCKETS = 1 << 13
-LOW = (1 << 50) - 1
-#: Slices of the tokens whose postings meet one after the other.
-SLICES = 4
-#: Bitmaps of 64 bits in the second bound.
-WIDE = 8
-
-
-def bucket(word: Column, h: Column) -> Column:
-    """A word's bucket: its length (31 at most) and the upper 8 bits of its hash."""
-    size = F.least(F.length(word), F.lit(31)).cast("int")
-    return F.shiftleft(size, 8).bitwiseOR(F.shiftrightunsigned(h, 56).cast("int"))
-
-
-def bucket_ranks(docs: DataFrame) -> Column:
-    """A constant: for each bucket its rank by rarity, the mean frequency of its distinct words over all texts.
+#: Counters of words; a fixed size of what the driver gets and what each task holds.
+BUCKETS = 1 << 17
+#: A token's key: the class of its counter (7 bits), then this much of its hash.
+LOW = (1 << 56) - 1
+#: Slices of the tokens whose postings meet one after the other, so that little disk is used at once.
+SLICES = 2
 
-    Only the 8,192 buckets' figures reach the driver; the number of distinct words is an estimate, which can change
-    the order (any order is exact) but not the result.
-    """
-    words = docs.select(F.explode(split_words(F.col("text"))).alias("w")).select("w", F.xxhash64("w").alias("h"))
-    figures = words.groupBy(bucket(F.col("w"), F.col("h")).alias("b")).agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d"))
-    mean = {r.b: r.n / max(r.d, 1) for r in figures.collect()}
-    ranks = [0] * BUCKETS
-    for place, b in enumerate(sorted(range(BUCKETS), key=lambda b: (mean.get(b, 0), b))):
-        ranks[b] = place
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded to a literal when planned
 
+def rarity(candidates: DataFrame) -> Column:
+    """A constant array: for each counter its class, from 0 (rare) to 127, a quarter of a doubling wide."""
+    words = candidates.select(F.explode(split_words(F.col("content"), line=True)).alias("w"))
+    counter = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")
+    figures = words.select(counter).groupBy("b").agg(F.count("*").alias("n")).toArrow()
+    classes = np.zeros(BUCKETS, np.int64)
+    counts = figures["n"].to_numpy()
+    classes[figures["b"].to_numpy()] = np.minimum(127, 4 * np.log2(np.maximum(counts, 1))).astype(np.int64)
+    return F.split(F.lit(",".join(map(str, classes.tolist()))), ",").cast("array<bigint>")  # folded to a literal when planned
 
-def line_tokens(line: Column, ranks: Column) -> Column:
-    """The distinct words of a line as sort keys, rarest first: the bucket's rank, then the low 50 bits of the hash.
 
-    A key stands for the word's length and 58 bits of its hash.
-    """
+def line_tokens(line: Column, classes: Column) -> Column:
+    """The distinct words of a line as sort keys, rarest first."""
+    hashes = F.transform(split_words(line, line=True), lambda w: F.xxhash64(w))
+    place = lambda h: F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    keys = F.transform(hashes, lambda h: F.shiftleft(place(h), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW))))
+    return F.sort_array(F.array_distinct(keys))
 
-    def key(word: Column) -> Column:
-        h = F.xxhash64(word)
-        return F.shiftleft(F.get(ranks, bucket(word, h)), 50).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
 
-    return F.sort_array(F.array_distinct(F.transform(split_words(line), key)))
-
-
-def signature(tokens: Column, words: int = 1) -> list[Column]:
-    """Bitmaps of a token set, 64 bits each; two sets differ in at least as many tokens as all their bitmaps in bits."""
+def bitmap(tokens: Column) -> Column:
+    """64 bits of a token set; two sets differ in at least as many tokens as their bitmaps in bits."""
     one = F.lit(1).cast("long")
-    bit = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
-    own = lambda t, i: F.shiftright(t, 6).bitwiseAND(F.lit(words - 1)) == i
-    return [
-        F.aggregate(
-            tokens if words == 1 else F.filter(tokens, lambda t: own(t, i)),  # noqa: B023
-            F.lit(0).cast("long"),
-            lambda acc, t: acc.bitwiseOR(bit(t)),
-        )
-        for i in range(words)
-    ]
+    bit = lambda t: F.call_function("shiftleft", one, F.shiftright(t, 40).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(bit(t)))
 
 
 def needed(percent: int, x: str, y: str) -> str:
@@ -93,115 +74,84 @@ def needed(percent: int, x: str, y: str) -> str:
 
 
 def could_match(percent: int) -> Column:
-    """Length filter, positional filter and bitmap bound for a posting (n, pos, sig) and an earlier one (n2, pos2, sig2)."""
+    """Length filter, positional filter and bitmap bound for a posting (n, mark, sig) and an earlier one (n2, mark2, sig2)."""
     least = needed(percent, "n", "n2")
     return F.expr(
-        f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND least(n - pos, n2 - pos2) >= {least} "
+        f"100 * least(n, n2) >= {percent} * greatest(n, n2) "
+        f"AND least(n - (mark & 65535), n2 - (mark2 & 65535)) >= {least} "
         f"AND bit_count(sig ^ sig2) <= n + n2 - 2 * ({least})"
     )
 
 
-def similar(pairs: DataFrame, docs: DataFrame, numbers: DataFrame, ranks: Column, percent: int) -> DataFrame:
-    """The numbers `no` of the pairs (no, other) whose full token sets match."""
+def similar(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """The numbers `no` of the pairs (no, other) whose words match."""
     wanted = pairs.select(F.explode(F.array("no", "other")).alias("no")).distinct()
-    places = numbers.join(wanted, "no").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line", "no")).alias("lines"))
-    at = (F.col("d_id").eqNullSafe(F.col("doc_id"))) & (F.col("d_key") == F.col("text_key"))
-    texts = docs.select(F.col("doc_id").alias("d_id"), F.col("text_key").alias("d_key"), "text").join(places, at)
-    found = texts.select(F.split("text", "\n").alias("all"), F.explode("lines").alias("l")).select(
-        F.col("l.no").alias("no"), line_tokens(F.element_at("all", F.col("l.line") + 1), ranks).alias("tokens")
-    )
-    found = found.dropDuplicates(["no"])
-    sets = saved(found.select("no", "tokens", *[c.alias(f"s{i}") for i, c in enumerate(signature(F.col("tokens"), WIDE))]), "line-tokens")
-    bounds = sets.select("no", F.size("tokens").alias("n"), *[f"s{i}" for i in range(WIDE)])
-    one, two = bounds, bounds.toDF("other", "n2", *[f"t{i}" for i in range(WIDE)])
-    apart = " + ".join(f"bit_count(s{i} ^ t{i})" for i in range(WIDE))
-    near = pairs.join(one, "no").join(two, "other").where(f"{apart} <= n + n2 - 2 * ({needed(percent, 'n', 'n2')})")
-    one, two = sets.select("no", "tokens"), sets.select(F.col("no").alias("other"), F.col("tokens").alias("tokens2"))
-    both = saved(near.select("no", "other"), "line-near").join(one, "no").join(two, "other")
-    common = F.size(F.array_intersect("tokens", "tokens2"))
-    union = F.size("tokens") + F.size("tokens2") - common
-    return both.where(common * 100 >= union * percent).select("no").distinct()
+    words = split_words(F.col("content"), line=True)
+    texts = candidates.select("no", "content").join(wanted, "no", "left_semi").withColumn("n", F.size(F.array_distinct(words)))
+    texts = saved(texts, "line-texts")
+    both = pairs.join(texts, "no").join(texts.toDF("other", "content2", "n2"), "other")
+    common = F.size(F.array_intersect(words, split_words(F.col("content2"), line=True)))
+    return both.where(common * (100 + percent) >= percent * (F.col("n") + F.col("n2"))).select("no").distinct()
+
+
+def line_places(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, line and content of every line with a word; equal rows count once."""
+    rows = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    return rows.where(F.col("content").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, text_key, line) of every line that matches an earlier one; `docs` has doc_id, text_key and text."""
-    ranks = bucket_ranks(docs)
-    lines = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    tokens = lines.select("doc_id", "text_key", "line", line_tokens(F.col("content"), ranks).alias("tokens"))
+    spark = docs.sparkSession
+    keys = [F.xxhash64("content").alias("k1"), F.xxhash64(F.lit("2"), "content").alias("k2")]
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line")
+    equal = line_places(docs).groupBy("content").agg(F.min(place).alias("at")).select("content", "at.*")
+    equal, path = saved_at(equal, "equal-lines")
+    candidates, _ = numbered(equal, ["none", "doc_id", "text_key", "line"], "line-candidates", "no")
+    discard(spark, path)
+
+    tokens = candidates.select("no", line_tokens(F.col("content"), rarity(candidates)).alias("tokens"))
     n = F.size("tokens")
     # A match leaves at most n - ceil(percent n / 100) of a set's tokens unmatched.
     prefix = F.slice("tokens", 1, n - F.expr(f"({percent} * size(tokens) + 99) div 100").cast("int") + 1)
-    placed, wide = saved_at(
-        tokens.where(n > 0).select(
-            "doc_id", "text_key", "line", F.xxhash64("tokens").alias("set_id"), n.alias("n"),
-            signature(F.col("tokens"))[0].alias("sig"), prefix.alias("prefix"),
-        ),
-        "lines",
-    )
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line")
-    sets = placed.groupBy("set_id").agg(F.min(place).alias("at")).select("set_id", "at.*")
-    numbers, _ = numbered(sets, ["none", "doc_id", "text_key", "line"], "line-sets", "no")
-    numbers = numbers.drop("none")
-
-    first = (
-        (placed["set_id"] == numbers["set_id"])
-        & placed["doc_id"].eqNullSafe(numbers["doc_id"])
-        & (placed["text_key"] == numbers["text_key"])
-        & (placed["line"] == numbers["line"])
-    )
-    # Sets so small that only an equal set reaches the threshold need no candidates.
-    firsts = placed.where(f"100 * n >= {percent} * (n + 1)").join(numbers, first).select("no", "n", "sig", "prefix")
-    firsts = saved(firsts, "line-firsts")
-    placed = saved(placed.select("doc_id", "text_key", "line", "set_id"), "line-places")
-    discard(docs.sparkSession, wide)
-
-    # A posting is a prefix token with its set's number and, in 16 bits, its position (a capped position filters less).
-    mark = lambda t, i: F.struct(t.alias("token"), F.shiftleft("no", 16).bitwiseOR(F.least(i, F.lit(65535)).cast("long")).alias("mark"))
+    sets, sets_path = saved_at(tokens.select("no", n.alias("n"), bitmap(F.col("tokens")).alias("sig"), prefix.alias("prefix")), "line-sets")
 
     def postings(sets: DataFrame, part: int) -> DataFrame:
-        """The postings of one slice of the tokens."""
-        rows = sets.select("n", "sig", F.explode(F.transform("prefix", mark)).alias("p"))
-        return rows.where(F.pmod(F.col("p.token"), F.lit(SLICES)) == part).select("p.token", "p.mark", "n", "sig")
-
-    def sliced(meet: Callable[[int], DataFrame]) -> DataFrame:
-        """The pairs of all slices; a slice's shuffle is gone before the next one's, so little disk is used at once."""
-        parts = [saved(meet(k).where(could_match(percent)).select("no", "other").distinct(), "line-pairs") for k in range(SLICES)]
+        """token, mark, n, sig for one slice of the tokens; a mark is the number and, in 16 bits, the token's position.
+
+        A capped position filters less.
+        """
+        rows = sets.select("no", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
+        mark = F.shiftleft("no", 16).bitwiseOR(F.least("pos", F.lit(65535)).cast("long"))
+        return rows.where(F.pmod(F.col("token"), F.lit(SLICES)) == part).select("token", mark.alias("mark"), "n", "sig")
+
+    def met(meet: Callable[[int], DataFrame]) -> DataFrame:
+        """The pairs of all slices; a slice's shuffle is gone before the next one's."""
+        pair = [F.shiftright("mark", 16).alias("no"), F.shiftright("mark2", 16).alias("other")]
+        parts = [saved(meet(k).where(could_match(percent)).select(*pair).distinct(), "line-pairs") for k in range(SLICES)]
         return functools.reduce(DataFrame.unionByName, parts).distinct()
 
-    def opened(suffix: str = "") -> list[Column]:
-        names = ("other", "n2", "sig2", "pos2") if suffix else ("no", "n", "sig", "pos")
-        mark = F.col("mark" + suffix)
-        found = (F.shiftright(mark, 16), F.col("n" + suffix), F.col("sig" + suffix), mark.bitwiseAND(F.lit(65535)).cast("int"))
-        return [c.alias(x) for c, x in zip(found, names, strict=True)]
-
-    details = firsts.select(F.col("no").alias("hub"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
-
-    def with_hub(part: int) -> DataFrame:
-        hubs = postings(firsts, part).groupBy("token").agg(F.min("mark").alias("mark2"), F.max("mark").alias("last")).where("mark2 < last")
-        hubs = hubs.join(details, F.shiftright("mark2", 16) == F.col("hub")).select("token", *opened("2"))
-        return postings(firsts, part).select("token", *opened()).join(hubs, "token").where("no > other")
+    def with_first(part: int) -> DataFrame:
+        earliest = [F.min("mark").alias("mark2"), F.min_by("n", "mark").alias("n2"), F.min_by("sig", "mark").alias("sig2")]
+        hubs = postings(sets, part).groupBy("token").agg(*earliest, F.count("*").alias("k")).where("k > 1").drop("k")
+        return postings(sets, part).join(hubs, "token").where("mark > mark2")
 
-    pairs = saved(sliced(with_hub), "line-pairs")
-    decided = saved(similar(pairs, docs, numbers, ranks, percent), "line-decided")
-    undecided = saved(firsts.join(decided, "no", "left_anti"), "line-open")
+    pairs = saved(met(with_first), "line-pairs")
+    decided = saved(similar(pairs, candidates, percent), "line-decided")
+    undecided = sets.join(decided, "no", "left_anti")
 
     def with_all(part: int) -> DataFrame:
-        others = postings(firsts, part).withColumnsRenamed({"mark": "mark2", "n": "n2", "sig": "sig2"}).select("token", *opened("2"))
-        return postings(undecided, part).select("token", *opened()).join(others, "token").where("no > other")
+        earlier = postings(sets, part).withColumnsRenamed({"mark": "mark2", "n": "n2", "sig": "sig2"})
+        return postings(undecided, part).join(earlier, "token").where("mark > mark2")
 
-    pairs = saved(sliced(with_all), "line-pairs")
-    decided = saved(decided.unionByName(similar(pairs, docs, numbers, ranks, percent)), "line-decided")
+    pairs = saved(met(with_all).join(pairs, ["no", "other"], "left_anti"), "line-pairs")
+    discard(spark, sets_path)
+    decided = saved(decided.unionByName(similar(pairs, candidates, percent)), "line-decided").withColumn("gone", F.lit(True))
 
-    later = numbers.join(decided.withColumn("gone", F.lit(True)), "no", "left").select(
-        "set_id", F.struct("doc_id", "text_key", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")
-    )
-    own = F.struct("doc_id", "text_key", "line")
-    return (
-        placed.select("doc_id", "text_key", "line", "set_id")
-        .join(later, "set_id")
-        .where(F.col("gone") | ~own.eqNullSafe(F.col("first")))
-        .select("doc_id", "text_key", "line")
-    )
+    first = F.struct("doc_id", "text_key", "line")
+    known = candidates.join(decided, "no", "left").select(*keys, first.alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    lines = line_places(docs).select("doc_id", "text_key", "line", *keys)
+    return lines.join(known, ["k1", "k2"]).where(F.col("gone") | ~first.eqNullSafe(F.col("first"))).select("doc_id", "text_key", "line")
 
 
 def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -212,7 +162,8 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone"))
     at = keyed["id"].eqNullSafe(gone["doc_id"]) & (keyed["key"] == gone["text_key"])
     lines = F.split("row.text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     return keyed.join(gone, at, "left").select(
         "row",
         F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept).alias("text"),

@@ -18,27 +18,30 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share (spark.checkpoint.dir).
 
-    Where that setting is absent, as in tests, a folder of this process is set once.
+    Where that setting is absent a local session, as in tests, gets a folder of its own; on a cluster it is an error,
+    as executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarry-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write `df` to the shared folder and read it back, so a lost executor never costs a recomputation."""
-    return saved_at(df, name)[0]
+    return saved_at(df, name, codec)[0]
 
 
-def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def saved_at(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
@@ -60,10 +63,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def split_words(text: Column, line: bool = False) -> Column:
+def split_words(text: Column, line: bool = False, blanks: bool = False) -> Column:
     """The words of a text (or of one line of it), cut at ASCII white space.
 
     A split at one plain character needs no regular expression, and texts without rare blanks skip their replacement.
+    With `blanks` the empty strings between neighbouring blanks stay.
     """
     rare = [F.contains(text, F.lit(blank)) for blank in "\t\x0b\x0c\r"]
     plain = text if line else F.replace(text, F.lit("\n"), F.lit(" "))
@@ -71,7 +75,8 @@ def split_words(text: Column, line: bool = False) -> Column:
     for blank in "\t\x0b\x0c\r":
         folded = F.replace(folded, F.lit(blank), F.lit(" "))
     some = rare[0] | rare[1] | rare[2] | rare[3]
-    return F.array_remove(F.split(F.when(some, folded).otherwise(plain), " "), "")
+    parts = F.split(F.when(some, folded).otherwise(plain), " ")
+    return parts if blanks else F.array_remove(parts, "")
 
 
 def word_count(text: Column) -> Column:

@@ -15,7 +15,7 @@ Hot groups: candidates meet in two steps. First each meets only the earliest can
 settles nearly all members of a large group of near-copies; only those still undecided are compared with all earlier
 candidates of their lists. Spark splits the joins where a token is hot.
 
-Candidates come from 64-bit token keys and equal lines from 128 bits of hash; similarity is decided on words.
+Candidates come from 63-bit token keys and equal lines from 128 bits of hash; similarity is decided on words.
 
 Defined results: blank lines have no tokens and always stay; null and empty texts stay as they are; a document whose
 lines all go keeps its row, with an empty text; rows of one doc_id are told apart by their text, and fully equal
@@ -38,13 +38,13 @@ from quarry.llm.common import discard, numbered, packed, saved, saved_at, split_
 BUCKETS = 1 << 17
 #: A token's key: the class of its counter (7 bits), then this much of its hash.
 LOW = (1 << 56) - 1
-#: Slices of the tokens whose postings meet one after the other, so that little disk is used at once.
-SLICES = 2
+#: Slices (of tokens whose postings meet, of pairs to verify) that run one after the other, so that little disk is used at once.
+SLICES = 3
 
 
 def rarity(candidates: DataFrame) -> Column:
     """A constant array: for each counter its class, from 0 (rare) to 127, a quarter of a doubling wide."""
-    words = candidates.select(F.explode(split_words(F.col("content"), line=True)).alias("w"))
+    words = candidates.select(F.explode(split_words(F.col("content"), line=True, blanks=True)).alias("w"))
     counter = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")
     figures = words.select(counter).groupBy("b").agg(F.count("*").alias("n")).toArrow()
     classes = np.zeros(BUCKETS, np.int64)
@@ -57,14 +57,15 @@ def line_tokens(line: Column, classes: Column) -> Column:
     """The distinct words of a line as sort keys, rarest first."""
     hashes = F.transform(split_words(line, line=True), lambda w: F.xxhash64(w))
     place = lambda h: F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    keys = F.transform(hashes, lambda h: F.shiftleft(place(h), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW))))
-    return F.sort_array(F.array_distinct(keys))
+    # The coalesce only tells Spark that no key is null, which lets it sort plain longs.
+    key = lambda h: F.coalesce(F.shiftleft(place(h), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW))), F.lit(0))
+    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
 
 
 def bitmap(tokens: Column) -> Column:
     """64 bits of a token set; two sets differ in at least as many tokens as their bitmaps in bits."""
     one = F.lit(1).cast("long")
-    bit = lambda t: F.call_function("shiftleft", one, F.shiftright(t, 40).bitwiseAND(F.lit(63)).cast("int"))
+    bit = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(bit(t)))
 
 
@@ -84,32 +85,53 @@ def could_match(percent: int) -> Column:
 
 
 def similar(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """The numbers `no` of the pairs (no, other) whose words match."""
+    """The numbers `no` of the pairs (no, other) whose words match; 32-bit hashes rule out most pairs before words do."""
     wanted = pairs.select(F.explode(F.array("no", "other")).alias("no")).distinct()
     words = split_words(F.col("content"), line=True)
-    texts = candidates.select("no", "content").join(wanted, "no", "left_semi").withColumn("n", F.size(F.array_distinct(words)))
-    texts = saved(texts, "line-texts")
-    both = pairs.join(texts, "no").join(texts.toDF("other", "content2", "n2"), "other")
-    common = F.size(F.array_intersect(words, split_words(F.col("content2"), line=True)))
-    return both.where(common * (100 + percent) >= percent * (F.col("n") + F.col("n2"))).select("no").distinct()
-
-
-def line_places(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line and content of every line with a word; equal rows count once."""
-    rows = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    return rows.where(F.col("content").rlike(r"[^\x20\x09-\x0D]"))
+    hashes = F.array_distinct(F.transform(words, lambda w: F.hash(w)))
+    texts = candidates.select("no", "content").join(wanted, "no", "left_semi")
+    texts, path = saved_at(texts.select("no", "content", F.size(F.array_distinct(words)).alias("n"), hashes.alias("h")), "line-texts", "zstd")
+
+    def reached(pairs: DataFrame, column: str, common: Column) -> DataFrame:
+        one = texts.select("no", "n", F.col(column).alias("x"))
+        both = pairs.join(one, "no").join(one.toDF("other", "n2", "y"), "other")
+        return both.where(common * (100 + percent) >= percent * (F.col("n") + F.col("n2"))).select("no", "other")
+
+    mine = [pairs.where(F.pmod("no", F.lit(SLICES)) == k) for k in range(SLICES)]
+    near = [saved(reached(part, "h", F.size(F.array_intersect("x", "y"))), "line-near") for part in mine]
+    words = [split_words(F.col(c), line=True) for c in ("x", "y")]
+    found = reached(functools.reduce(DataFrame.unionByName, near), "content", F.size(F.array_intersect(*words)))
+    found = saved(found.select("no").distinct(), "line-similar")
+    discard(pairs.sparkSession, path)
+    return found
+
+
+#: What tells rows of `docs` apart, null-safe.
+KEY = ["none", "id", "text_key"]
+
+
+def line_candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every line with a word (KEY, line, and two hashes k1 and k2), and the distinct ones of them, with content.
+
+    The distinct ones are numbered (`no`) by their first place. Grouping moves hashes only; texts move once.
+    """
+    rows = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    hashes = [F.xxhash64("content").alias("k1"), F.xxhash64(F.lit("2"), "content").alias("k2")]
+    lines = saved(rows.where(F.col("content").rlike(r"[^\x20\x09-\x0D]")).select(*KEY, "line", *hashes), "lines")
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct(*KEY, "line")).alias("at")).select("k1", "k2", "at.*")
+    numbers, _ = numbered(firsts, [*KEY, "line"], "line-numbers", "no")
+    lists = numbers.groupBy(*KEY).agg(F.collect_list(F.struct("line", "no", "k1", "k2")).alias("found"))
+    # The explode of one array keeps Spark from splitting the text again for each of its lines.
+    texts = docs.dropDuplicates(KEY).join(lists, KEY).select("found", *KEY, F.explode(F.array(F.split("text", "\n"))).alias("all"))
+    texts = texts.select("all", *KEY, F.explode("found").alias("l"))
+    content = F.element_at("all", F.col("l.line") + 1).alias("content")
+    return lines, saved(texts.select("l.no", *KEY, "l.line", "l.k1", "l.k2", content), "line-candidates", "zstd")
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, text_key, line) of every line that matches an earlier one; `docs` has doc_id, text_key and text."""
+    """(none, id, text_key, line) of every line that matches an earlier one; `docs` has none, id, text_key and text."""
     spark = docs.sparkSession
-    keys = [F.xxhash64("content").alias("k1"), F.xxhash64(F.lit("2"), "content").alias("k2")]
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line")
-    equal = line_places(docs).groupBy("content").agg(F.min(place).alias("at")).select("content", "at.*")
-    equal, path = saved_at(equal, "equal-lines")
-    candidates, _ = numbered(equal, ["none", "doc_id", "text_key", "line"], "line-candidates", "no")
-    discard(spark, path)
-
+    lines, candidates = line_candidates(docs)
     tokens = candidates.select("no", line_tokens(F.col("content"), rarity(candidates)).alias("tokens"))
     n = F.size("tokens")
     # A match leaves at most n - ceil(percent n / 100) of a set's tokens unmatched.
@@ -137,7 +159,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         return postings(sets, part).join(hubs, "token").where("mark > mark2")
 
     pairs = saved(met(with_first), "line-pairs")
-    decided = saved(similar(pairs, candidates, percent), "line-decided")
+    decided = similar(pairs, candidates, percent)
     undecided = sets.join(decided, "no", "left_anti")
 
     def with_all(part: int) -> DataFrame:
@@ -146,25 +168,25 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     pairs = saved(met(with_all).join(pairs, ["no", "other"], "left_anti"), "line-pairs")
     discard(spark, sets_path)
-    decided = saved(decided.unionByName(similar(pairs, candidates, percent)), "line-decided").withColumn("gone", F.lit(True))
+    decided = decided.unionByName(similar(pairs, candidates, percent)).withColumn("gone", F.lit(True))
 
-    first = F.struct("doc_id", "text_key", "line")
-    known = candidates.join(decided, "no", "left").select(*keys, first.alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    lines = line_places(docs).select("doc_id", "text_key", "line", *keys)
-    return lines.join(known, ["k1", "k2"]).where(F.col("gone") | ~first.eqNullSafe(F.col("first"))).select("doc_id", "text_key", "line")
+    first = F.struct(*KEY, "line")
+    known = candidates.join(decided, "no", "left").select("k1", "k2", first.alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    return lines.join(known, ["k1", "k2"]).where(F.col("gone") | (first != F.col("first"))).select(*KEY, "line")
 
 
 def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Every row of `docs` as the struct `row`, with text (the kept lines), n_lines and n_removed."""
-    keyed = docs.select(packed(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
-    texts = keyed.select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), F.col("row.text").alias("text"))
-    gone = removed_lines(texts.where("text IS NOT NULL"), percent)
-    gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone"))
-    at = keyed["id"].eqNullSafe(gone["doc_id"]) & (keyed["key"] == gone["text_key"])
-    lines = F.split("row.text", "\n")
+    doc_id = F.col("doc_id").cast("long")
+    key = [doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64("text").alias("text_key")]
+    keyed = docs.select(packed(docs), *key)
+    texts = docs.where("text IS NOT NULL").select(*key, "text")
+    gone = saved(removed_lines(texts, percent).groupBy(*KEY).agg(F.collect_set("line").alias("gone")), "lines-gone")
+    lines = F.col("lines")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    return keyed.join(gone, at, "left").select(
+    split = keyed.join(gone, KEY, "left").select("row", "gone", F.explode(F.array(F.split("row.text", "\n"))).alias("lines"))
+    return split.select(
         "row",
         F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept).alias("text"),
         F.coalesce(F.size(F.when(F.col("row.text").isNotNull(), lines)), F.lit(0)).cast("long").alias("n_lines"),

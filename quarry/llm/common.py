@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the contracts define it; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: With this, Spark deletes a statement's shuffle files when the statement ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings for the time of one statement: its shuffle files go when it ends, and the driver keeps no long plan texts.
+STATEMENT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "100000"}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -38,12 +38,14 @@ def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 def saved_at(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in STATEMENT}
+    for k, v in STATEMENT.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path, compression=codec)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path), path
 
 

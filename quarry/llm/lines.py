@@ -8,10 +8,11 @@ Equal lines become one candidate, numbered by its first place. Tokens are ordere
 candidates are counted in `BUCKETS` counters chosen by hash (a frequent word has a full counter, a rare one a nearly
 empty one, so the table of counters is of fixed size whatever the corpus), and a token's sort key is its counter's
 logarithm, then its hash. Any fixed order is exact; this one puts the rarest tokens first. A line's prefix holds as
-many of its first tokens as a match must share one of. Prefix tokens that two candidates share meet under the length
-filter, the positional filter and a bitmap bound on the sets' difference; the words of both lines then decide.
+many of its first tokens as a match must share two of (a set so small that it needs fewer, all of those). Prefix tokens that two
+candidates share meet under the length filter, the positional filter and a bitmap bound on the sets' difference; pairs
+that meet often enough are compared, and the words of both lines then decide.
 
-Hot groups: candidates meet in two steps. First each meets only the earliest candidate of every posting list, which
+Hot groups: candidates meet in two steps. First each meets only the earliest candidate of its posting lists, which
 settles nearly all members of a large group of near-copies; only those still undecided are compared with all earlier
 candidates of their lists. Spark splits the joins where a token is hot.
 
@@ -35,22 +36,24 @@ from pyspark.sql import functions as F
 from quarry.llm.common import discard, numbered, packed, saved, saved_at, split_words
 
 #: Counters of words; a fixed size of what the driver gets and what each task holds.
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
+#: How many prefix tokens two candidates must share to be compared.
+SHARED = 2
 #: A token's key: the class of its counter (7 bits), then this much of its hash.
 LOW = (1 << 56) - 1
-#: Slices (of tokens whose postings meet, of pairs to verify) that run one after the other, so that little disk is used at once.
+#: Slices of the tokens whose postings meet one after the other, so that little disk is used at once.
 SLICES = 3
 
 
 def rarity(candidates: DataFrame) -> Column:
-    """A constant array: for each counter its class, from 0 (rare) to 127, a quarter of a doubling wide."""
+    """A constant array of bytes: for each counter its class, from 0 (rare) to 127, a quarter of a doubling wide."""
     words = candidates.select(F.explode(split_words(F.col("content"), line=True, blanks=True)).alias("w"))
-    counter = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")
-    figures = words.select(counter).groupBy("b").agg(F.count("*").alias("n")).toArrow()
-    classes = np.zeros(BUCKETS, np.int64)
-    counts = figures["n"].to_numpy()
-    classes[figures["b"].to_numpy()] = np.minimum(127, 4 * np.log2(np.maximum(counts, 1))).astype(np.int64)
-    return F.split(F.lit(",".join(map(str, classes.tolist()))), ",").cast("array<bigint>")  # folded to a literal when planned
+    counter = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")
+    figures = words.select(counter).groupBy("b").agg(F.count("*").alias("n"))
+    figures = figures.select("b", F.least(F.floor(4 * F.log2("n")), F.lit(127)).cast("tinyint").alias("c")).toArrow()
+    classes = np.zeros(BUCKETS, np.int8)
+    classes[figures["b"].to_numpy()] = figures["c"].to_numpy()
+    return F.split(F.lit(",".join(map(str, classes.tolist()))), ",").cast("array<tinyint>")  # folded to a literal when planned
 
 
 def line_tokens(line: Column, classes: Column) -> Column:
@@ -58,7 +61,7 @@ def line_tokens(line: Column, classes: Column) -> Column:
     hashes = F.transform(split_words(line, line=True), lambda w: F.xxhash64(w))
     place = lambda h: F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
     # The coalesce only tells Spark that no key is null, which lets it sort plain longs.
-    key = lambda h: F.coalesce(F.shiftleft(place(h), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW))), F.lit(0))
+    key = lambda h: F.coalesce(F.shiftleft(place(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW))), F.lit(0))
     return F.sort_array(F.array_distinct(F.transform(hashes, key)))
 
 
@@ -75,11 +78,14 @@ def needed(percent: int, x: str, y: str) -> str:
 
 
 def could_match(percent: int) -> Column:
-    """Length filter, positional filter and bitmap bound for a posting (n, mark, sig) and an earlier one (n2, mark2, sig2)."""
+    """Length filter, positional filter and bitmap bound for a posting (n, mark, sig) and an earlier one (n2, mark2, sig2).
+
+    The positional filter holds for the first tokens that two sets share, up to SHARED.
+    """
     least = needed(percent, "n", "n2")
     return F.expr(
         f"100 * least(n, n2) >= {percent} * greatest(n, n2) "
-        f"AND least(n - (mark & 65535), n2 - (mark2 & 65535)) >= {least} "
+        f"AND least(n - (mark & 65535), n2 - (mark2 & 65535)) + {SHARED - 1} >= {least} "
         f"AND bit_count(sig ^ sig2) <= n + n2 - 2 * ({least})"
     )
 
@@ -97,10 +103,9 @@ def similar(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
         both = pairs.join(one, "no").join(one.toDF("other", "n2", "y"), "other")
         return both.where(common * (100 + percent) >= percent * (F.col("n") + F.col("n2"))).select("no", "other")
 
-    mine = [pairs.where(F.pmod("no", F.lit(SLICES)) == k) for k in range(SLICES)]
-    near = [saved(reached(part, "h", F.size(F.array_intersect("x", "y"))), "line-near") for part in mine]
+    near = saved(reached(pairs, "h", F.size(F.array_intersect("x", "y"))), "line-near")
     words = [split_words(F.col(c), line=True) for c in ("x", "y")]
-    found = reached(functools.reduce(DataFrame.unionByName, near), "content", F.size(F.array_intersect(*words)))
+    found = reached(near, "content", F.size(F.array_intersect(*words)))
     found = saved(found.select("no").distinct(), "line-similar")
     discard(pairs.sparkSession, path)
     return found
@@ -134,8 +139,8 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     lines, candidates = line_candidates(docs)
     tokens = candidates.select("no", line_tokens(F.col("content"), rarity(candidates)).alias("tokens"))
     n = F.size("tokens")
-    # A match leaves at most n - ceil(percent n / 100) of a set's tokens unmatched.
-    prefix = F.slice("tokens", 1, n - F.expr(f"({percent} * size(tokens) + 99) div 100").cast("int") + 1)
+    # A match leaves at most n - ceil(percent n / 100) of a set's tokens unmatched, so this prefix holds SHARED common ones.
+    prefix = F.slice("tokens", 1, n - F.expr(f"({percent} * size(tokens) + 99) div 100").cast("int") + SHARED)
     sets, sets_path = saved_at(tokens.select("no", n.alias("n"), bitmap(F.col("tokens")).alias("sig"), prefix.alias("prefix")), "line-sets")
 
     def postings(sets: DataFrame, part: int) -> DataFrame:
@@ -148,10 +153,12 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         return rows.where(F.pmod(F.col("token"), F.lit(SLICES)) == part).select("token", mark.alias("mark"), "n", "sig")
 
     def met(meet: Callable[[int], DataFrame]) -> DataFrame:
-        """The pairs of all slices; a slice's shuffle is gone before the next one's."""
+        """The pairs of all slices that share enough prefix tokens; a slice's shuffle is gone before the next one's."""
         pair = [F.shiftright("mark", 16).alias("no"), F.shiftright("mark2", 16).alias("other")]
-        parts = [saved(meet(k).where(could_match(percent)).select(*pair).distinct(), "line-pairs") for k in range(SLICES)]
-        return functools.reduce(DataFrame.unionByName, parts).distinct()
+        need = F.least(F.lit(SHARED), F.expr(needed(percent, "n", "n2"))).alias("need")
+        count = lambda pairs, n: pairs.groupBy("no", "other", "need").agg(n.alias("shared"))
+        parts = [saved(count(meet(k).where(could_match(percent)).select(*pair, need), F.count("*")), "line-pairs") for k in range(SLICES)]
+        return count(functools.reduce(DataFrame.unionByName, parts), F.sum("shared")).where("shared >= need").select("no", "other")
 
     def with_first(part: int) -> DataFrame:
         earliest = [F.min("mark").alias("mark2"), F.min_by("n", "mark").alias("n2"), F.min_by("sig", "mark").alias("sig2")]

@@ -2,7 +2,7 @@
 
 Domains are the values of a label column of a labelled table. A Gaussian naive Bayes classifier over a few text
 measures, fitted with one aggregation on all labelled rows, gives every document a posterior for each domain. Then
-document rates r >= floor are fitted so that the expected tokens of each domain, the sum over documents of
+document rates between a floor and a ceiling are fitted so that the expected tokens of each domain, the sum over documents of
 r * tokens * posterior, match the targets in the least-squares sense.
 
 The fit is projected gradient descent. Each step needs two aggregations over the narrow table of tokens and
@@ -23,8 +23,10 @@ are not learned from; repeated rows get equal rates; extra columns pass through;
 from __future__ import annotations
 
 import functools
+import logging
 import math
 import warnings
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -34,6 +36,7 @@ from quarry.llm.common import discard, packed, saved, saved_at, split_words
 
 MEASURES = ("log_words", "symbol_share", "word_length", "distinct_share", "repeat_share")
 SYMBOLS = "#*$%&|<>"
+log = logging.getLogger(__name__)
 #: Steps of the fit between two writes of the rates.
 SAVE_EVERY = 8
 
@@ -104,8 +107,8 @@ def posteriors(model: list[dict], least_variance: float = 1e-4) -> list[Column]:
     return [p / total for p in powers]
 
 
-def stepped(rate: Column, moves: list[np.ndarray], floor: float) -> Column:
-    """The rate after all moves, each with the floor as its bound, as a fold.
+def stepped(rate: Column, moves: list[np.ndarray], floor: float, ceiling: float = math.inf) -> Column:
+    """The rate after all moves, each with the floor and the ceiling as its bounds, as a fold.
 
     The moves are a constant array and no part of generated code, so one compiled class serves every step.
     """
@@ -115,10 +118,11 @@ def stepped(rate: Column, moves: list[np.ndarray], floor: float) -> Column:
     values = F.split(F.lit(",".join(repr(float(x)) for m in moves for x in m)), ",").cast("array<double>")
     push = lambda i: functools.reduce(lambda x, y: x + y, [F.col(f"_p{j}") * F.get(values, i + j) for j in range(k)])
     each = F.sequence(F.lit(0), F.lit(k * (len(moves) - 1)), F.lit(k))
-    return F.aggregate(each, rate, lambda r, i: F.greatest(F.lit(float(floor)), r - push(i)))
+    most = (lambda r: r) if math.isinf(ceiling) else (lambda r: F.least(F.lit(float(ceiling)), r))
+    return F.aggregate(each, rate, lambda r, i: F.greatest(F.lit(float(floor)), most(r - push(i))))
 
 
-def fitted_rates(rows: DataFrame, targets: list[float], floor: float, steps: int, close: float) -> Column:
+def fitted_rates(rows: DataFrame, targets: list[float], floor: float, steps: int, close: float, ceiling: float = math.inf) -> Column:
     """The rate as an expression of _p0, _p1, ... when the fit has converged; a fit that meets the bound `steps` first warns."""
     k, goal = len(targets), np.array(targets, float)
     names = [f"_p{i}" for i in range(k)]
@@ -129,7 +133,7 @@ def fitted_rates(rows: DataFrame, targets: list[float], floor: float, steps: int
     def spent(rate: Column) -> list[Column]:
         return [rate * F.col("_tokens") * F.col(n) for n in names]
 
-    start = F.lit(max(1.0, float(floor)))
+    start = F.lit(min(max(1.0, float(floor)), ceiling))
     both = [F.col("_tokens") * F.col(f"_p{i}") * F.col(f"_p{j}") for i in range(k) for j in range(k)]
     rate, path = start, None
     moves: list[np.ndarray] = []
@@ -142,16 +146,16 @@ def fitted_rates(rows: DataFrame, targets: list[float], floor: float, steps: int
         if len(moves) == steps:
             warnings.warn(f"mixing: {steps} steps did not converge, gap {np.abs(gap).max() / size:.6f} of the largest target", stacklevel=2)
             break
-        now = rows.withColumn("_now", stepped(rate, pending, floor))
-        now = now.withColumn("_apart", F.col("_now") - stepped(F.col("_now"), [gap / steepest], floor))
-        free = (F.col("_now") > floor) | (F.col("_apart") < 0)
+        now = rows.withColumn("_now", stepped(rate, pending, floor, ceiling))
+        now = now.withColumn("_apart", F.col("_now") - stepped(F.col("_now"), [gap / steepest], floor, ceiling))
+        free = F.col("_apart") != 0
         *shared, reach = sums(now, [*[F.when(free, x) for x in both], F.col("_tokens") * F.col("_apart") * F.col("_apart")])
         if np.sqrt(steepest * reach) <= 0.1 * close * size:  # what a plain step can still close
             break
         shared = np.array(shared).reshape(k, k)
         newton = np.linalg.lstsq(shared + 1e-9 * np.trace(shared) * np.eye(k), gap, rcond=None)[0]
         tried = [newton / 2**i for i in range(7)] + [gap / steepest]  # the last, a plain step, always lessens the loss
-        trials = now.select("*", *[stepped(F.col("_now"), [m], floor).alias(f"_r{i}") for i, m in enumerate(tried)])
+        trials = now.select("*", *[stepped(F.col("_now"), [m], floor, ceiling).alias(f"_r{i}") for i, m in enumerate(tried)])
         totals = sums(trials, [x for i in range(len(tried)) for x in spent(F.col(f"_r{i}"))])
         gaps = totals.reshape(len(tried), k) - goal
         losses = (gaps * gaps).sum(axis=1)
@@ -163,16 +167,27 @@ def fitted_rates(rows: DataFrame, targets: list[float], floor: float, steps: int
         gap = gaps[best]
         if len(pending) == SAVE_EVERY:
             spark, old = rows.sparkSession, path
-            rows, path = saved_at(rows.select("_tokens", *names, stepped(rate, pending, floor).alias("_rate")), "mixing-rates")
+            rows, path = saved_at(rows.select("_tokens", *names, stepped(rate, pending, floor, ceiling).alias("_rate")), "mixing-rates")
             rate, pending = F.col("_rate"), []
             if old:
                 discard(spark, old)
     if path:
         discard(rows.sparkSession, path)
-    return stepped(start, moves, floor)
+    reached = gap + goal
+    log.info("mixing: %d steps, token shares reached %s, aimed at %s", len(moves), *(np.round(x / max(1.0, x.sum()), 6).tolist() for x in (reached, goal)))
+    return stepped(start, moves, floor, ceiling)
 
 
-def mixed(
+@dataclass
+class Fit:
+    """The measured documents (narrow), and the posteriors and the rate as expressions of their measures."""
+
+    narrow: DataFrame
+    posteriors: dict[str, Column]
+    rate: Column
+
+
+def fit_rates(
     docs: DataFrame,
     labels: DataFrame,
     weights: dict,
@@ -181,34 +196,67 @@ def mixed(
     total_tokens: float | None = None,
     steps: int = 40,
     close: float = 1e-4,
-) -> DataFrame:
-    """Every row of `docs` as the struct `row`, with tokens, a posterior for each domain (p_<domain>), rate and copies.
+    ceiling: float = math.inf,
+) -> Fit:
+    """Measure every document once, learn the posteriors and fit the rates.
 
     The targets are `weights` (by domain, summing to one) times `total_tokens`; by default as many tokens as there
     are, or, with a positive floor, as many as let every domain keep its tokens times the floor.
     """
     domains = sorted(weights)
-    narrow = saved(measured(docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").alias("_t")), F.col("_t")).drop("_t"), "mixing-measures")
+    slim = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), unit(F.col("doc_id"), F.col("text")).alias("_unit"), F.col("text").alias("_t"))
+    narrow = saved(measured(slim, F.col("_t")).drop("_t"), "mixing-measures")
     model = classifier(narrow, labels, label, domains)
     names = {f"_p{i}": p for i, p in enumerate(posteriors(model))}
-    rows = saved(narrow.select("_tokens", *[p.alias(n) for n, p in names.items()]), "mixing-posteriors")
+    rows, path = saved_at(narrow.select("_tokens", *[p.alias(n) for n, p in names.items()]), "mixing-posteriors")
     if total_tokens is None:
         sums = [float(x or 0.0) for x in rows.agg(*[F.sum(F.col("_tokens") * F.col(n)) for n in names]).first()]
         total_tokens = max([sum(sums), *(floor * s / weights[d] for s, d in zip(sums, domains, strict=True) if weights[d] > 0)])
-    rate = fitted_rates(rows, [weights[d] * total_tokens for d in domains], floor, steps, close)
-    unit = F.shiftrightunsigned(F.xxhash64("row.doc_id", "row.text"), 11) / F.lit(float(1 << 53))
-    out = measured(docs.select(packed(docs)), F.col("row.text")).withColumns(names).withColumn("_rate", rate)
-    copies = F.floor("_rate") + (unit < F.col("_rate") - F.floor("_rate")).cast("long")
-    return out.select(
-        "row",
+    rate = fitted_rates(rows, [weights[d] * total_tokens for d in domains], floor, steps, close, ceiling)
+    discard(docs.sparkSession, path)
+    return Fit(narrow, names, rate)
+
+
+def unit(doc_id: Column, text: Column) -> Column:
+    """A number from 0 to 1 that depends on the row alone."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, text), 11) / F.lit(float(1 << 53))
+
+
+def rated(rows: DataFrame, fit: Fit) -> DataFrame:
+    """`rows`, which carry measures and _unit, with posteriors, _rate and _copies."""
+    out = rows.withColumns(fit.posteriors).withColumn("_rate", fit.rate)
+    copies = F.floor("_rate") + (F.col("_unit") < F.col("_rate") - F.floor("_rate")).cast("long")
+    return out.withColumn("_copies", copies.cast("long"))
+
+
+def document_rates(docs: DataFrame, labels: DataFrame, weights: dict, **options: object) -> DataFrame:
+    """doc_id, tokens, a posterior for each domain (p_<domain>), rate and copies for every row of `docs`; see fit_rates."""
+    fit = fit_rates(docs, labels, weights, **options)
+    return rated(fit.narrow, fit).select(
+        F.col("_doc_id").alias("doc_id"),
         F.col("_tokens").alias("tokens"),
-        *[F.round(n, 6).alias(f"p_{d}") for n, d in zip(names, domains, strict=True)],
+        *[F.round(n, 6).alias(f"p_{d}") for n, d in zip(fit.posteriors, sorted(weights), strict=True)],
         F.round("_rate", 6).alias("rate"),
-        copies.cast("long").alias("copies"),
+        F.col("_copies").alias("copies"),
     )
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict, label: str = "quality", floor: float = 1.0) -> DataFrame:
-    """The rows of `docs`, each as often as its copies say; with a floor of one every row stays at least once."""
-    many = mixed(docs, labels, weights, label, floor).where("copies > 0")
-    return many.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+def token_shares(rates: DataFrame, domains: list) -> DataFrame:
+    """The domains' expected tokens and shares of them after copying: domain, tokens, share."""
+    one = lambda d: F.struct(F.lit(str(d)).alias("domain"), F.col(f"t_{d}").alias("tokens"), F.try_divide(F.col(f"t_{d}"), F.col("all")).alias("share"))
+    sums = rates.agg(*[F.coalesce(F.sum(F.col("copies") * F.col("tokens") * F.col(f"p_{d}")), F.lit(0.0)).alias(f"t_{d}") for d in domains])
+    total = functools.reduce(lambda x, y: x + y, [F.col(f"t_{d}") for d in domains])
+    return sums.withColumn("all", total).select(F.explode(F.array(*[one(d) for d in domains])).alias("x")).select("x.*")
+
+
+def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict, label: str = "quality", floor: float = 1.0, ceiling: float = 4.0) -> DataFrame:
+    """The rows of `docs`, each as often as its copies say.
+
+    With a floor of one every row stays at least once; no row is repeated more than `ceiling` times (epochs), which
+    can leave a target unreached. The documents are measured a second time here, as a join of the rates with the
+    texts would shuffle all texts.
+    """
+    fit = fit_rates(docs, labels, weights, label=label, floor=floor, ceiling=ceiling)
+    rows = docs.select(packed(docs), unit(F.col("doc_id"), F.col("text")).alias("_unit"))
+    many = rated(measured(rows, F.col("row.text")), fit).where("_copies > 0")
+    return many.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*")

@@ -7,14 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.lines import LINE_DEDUP_SQL, line_dedup
+from quarry.llm.mixing import document_rates
+from quarry.llm.packing import pack_buckets, packing_sql
+from quarry.llm.repetition import repetition_quality
+from quarry.llm.shards import feistel_shards
+from quarry.llm.simhash import simhash_components
+from quarry.llm.substrings import remove_repeated_words
+from quarry.llm.suffixes import remove_repeated_bytes
+from quarry.llm.topk import TOP_K_SQL, exact_top_k
+from quarry.llm.toxicity import toxicity_scores
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.llm.simhash import simhash_components
-
     return simhash_components(_documents(spark, sf_dir)).drop("text_key", "first")
 
 
@@ -23,60 +32,41 @@ QUALITY_WEIGHTS = {0: 0.03, 1: 0.97}
 
 
 def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.llm.mixing import mixed
-
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = mixed(_documents(spark, sf_dir), labels, QUALITY_WEIGHTS)
-    return found.select("row.doc_id", "tokens", "p_0", "p_1", "rate", "copies")
+    return document_rates(_documents(spark, sf_dir), labels, QUALITY_WEIGHTS)
 
 
 def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.llm.substrings import remove_repeated_words
-
     return remove_repeated_words(_documents(spark, sf_dir))
 
 
 def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.llm.repetition import repetition_quality
-
     return repetition_quality(_documents(spark, sf_dir))
 
 
 def op5_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.llm.suffixes import remove_repeated_bytes
-
     return remove_repeated_bytes(_documents(spark, sf_dir))
 
 
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.llm.shards import feistel_shards
-
     return feistel_shards(_documents(spark, sf_dir)).drop("row_no")
 
 
 def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.llm.toxicity import toxicity_scores
-
     return toxicity_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.llm.lines import line_dedup
-
     return line_dedup(_documents(spark, sf_dir)).select(
         "row.doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
 
 
 def op9_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.llm.topk import exact_top_k
-
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.llm.packing import pack_buckets
-
     return pack_buckets(_documents(spark, sf_dir))
 
 
@@ -97,8 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from quarry.llm.packing import packing_sql
-    from quarry.llm.lines import LINE_DEDUP_SQL
-    from quarry.llm.topk import TOP_K_SQL
-
     return {"op8_line_dedup": LINE_DEDUP_SQL, "op9_bit_sliced_top_k": TOP_K_SQL, "op10_length_buckets": packing_sql()}

@@ -10,8 +10,8 @@ calibrated for each language on labelled rows that the training did not see.
 At scoring time each filter is folded into the tables, so a text costs a few table look-ups a word, and long texts
 are scanned whole in pieces that overlap by the widest filter.
 
-The classifier is fitted on at most `max_rows` labelled rows (a bounded sample, drawn by a hash of doc_id); it
-scores every row of the table. Labels, language, source and doc_id never enter a score.
+The classifier is fitted on at most `max_rows` labelled rows (a bounded sample, drawn by a hash of doc_id, of at most
+`max_words` words; rows beyond that are left out whole); it scores every row of the table. Labels, language, source and doc_id never enter a score.
 
 Defined results: null, empty and blank texts get the score of a text without words; null labels and labelled rows
 without a document are not learned from; repeated rows get equal scores; with labels of one kind only, or none,
@@ -21,6 +21,7 @@ every score is the smoothed share of toxic labels; extra columns are ignored; an
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -250,8 +251,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12000) -> Network:
-    """Train on at most `max_rows` labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, max_words: int = 20_000_000) -> Network:
+    """Train on at most `max_rows` labelled rows outside the held-out fold, and `max_words` words of them in all.
+
+    A labelled doc_id gives one row (the text with the least hash). The sample is hashed where it lies and trained on
+    in one task, so only the finished network (some 4 MB) reaches the driver.
+    """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where("doc_id IS NOT NULL AND toxic IN (0, 1)")
@@ -260,34 +265,40 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12000) -> Network:
         .agg(F.max("toxic").alias("toxic"))
     )
     drawn = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(drawn, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").join(drawn, "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by(F.struct("lang", "text"), F.xxhash64("text")).alias("one")).select("doc_id", "toxic", "one.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [hashed(t.as_py()).tobytes() for t in batch.column("text")]
             columns = [batch.column("doc_id"), batch.column("lang"), batch.column("toxic"), pa.array(words, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "toxic", "words"])
 
-    got = rows.mapInArrow(run, "doc_id long, lang string, toxic int, words binary").toArrow()
-    ids = got["doc_id"].to_numpy()
-    words = got["words"].to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (xxhash.xxh64_intdigest(str(ids[i])), words[i]))[:max_rows]
-    toxic, langs = got["toxic"].to_pylist(), got["lang"].to_pylist()
-    return train(
-        [np.frombuffer(words[i], np.uint32) for i in order],
-        np.array([toxic[i] for i in order], np.int64),
-        [langs[i] for i in order],
-    )
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, langs, toxic, left = [], [], [], max_words
+        for batch in batches:
+            for words, lang, label in zip(*(batch.column(c).to_pylist() for c in ("words", "lang", "toxic")), strict=True):
+                left -= len(words) // 4
+                if left >= 0:
+                    texts.append(np.frombuffer(words, np.uint32))
+                    langs.append(lang)
+                    toxic.append(label)
+        net = train(texts, np.array(toxic, np.int64), langs)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    sample = rows.mapInArrow(hash_words, "doc_id long, lang string, toxic int, words binary")
+    sample = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    found = sample.mapInArrow(learn, "net binary").collect()
+    return pickle.loads(found[0].net) if found else train([], np.zeros(0, np.int64), [])
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, text_key, lang and score for every row of (doc_id, lang, text); text_key is a hash of the text."""
-    tables = net.tables()
-    slim = Network(np.zeros(0), np.zeros(0), {}, net.bias, net.out, net.shift, constant=net.constant)
-    shared = docs.sparkSession.sparkContext.broadcast((slim, tables))
+    shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, folded = shared.value
+        model = shared.value
+        folded = model.tables()
         for batch in batches:
             given = scores([hashed(t.as_py()) for t in batch.column("text")], model, folded)
             columns = [*(batch.column(c) for c in ("doc_id", "text_key", "lang")), pa.array(given, pa.float64())]
@@ -319,13 +330,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, c
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 12000) -> DataFrame:
     """The rows of `docs` whose score stays below the threshold of their language; columns and rows are unchanged."""
     net = fit(docs, labels, max_rows)
-    tables = net.tables()
-    slim = Network(np.zeros(0), np.zeros(0), {}, net.bias, net.out, net.shift, constant=net.constant)
-    shared = docs.sparkSession.sparkContext.broadcast((slim, tables))
+    shared = docs.sparkSession.sparkContext.broadcast(net)
     thresholds, default = dict(net.thresholds), net.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, folded = shared.value
+        model = shared.value
+        folded = model.tables()
         for batch in batches:
             given = scores([hashed(t.as_py()) for t in batch.column("text")], model, folded)
             limits = np.array([thresholds.get(x, default) for x in batch.column("lang").to_pylist()], np.float64)

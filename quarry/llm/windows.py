@@ -14,12 +14,14 @@ Rounds over Spark tables then narrow the candidates:
    long, and pieces whose name occurs once drop out;
 4. the windows of the remaining pieces are named one by one, and equal ones settled by their first occurrence.
 
+Fully equal rows bring equal runs, which sets collapse before rows are joined with texts, so n copies cost n times one.
 Equality rests on pairs of 64-bit hashes of content. Hot names and spans are pre-aggregated before each shuffle, and
 joins back to the rows are plain equi-joins, which Spark splits where a key is hot. Nothing is sampled or capped.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import discard, saved, saved_at
 
 Arrays = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Slices of the names that meet one after the other, so that little disk is used at once.
+SLICES = 2
 #: Pieces that a window's places for its anchor are cut into.
 PIECES = 8
 
@@ -81,7 +85,7 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (a hash that tells rows of one doc_id apart) and text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_key"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
 def all_runs(docs: DataFrame, method: Method) -> DataFrame:
@@ -105,7 +109,7 @@ def all_runs(docs: DataFrame, method: Method) -> DataFrame:
             columns += [pa.array(name.view(np.int64)), pa.array(span.view(np.int64))]
             yield from pa.Table.from_arrays(columns, names).to_batches(max_chunksize=1 << 17)
 
-    return docs.mapInArrow(run, "doc_id long, text_key int, start int, n int, anchor int, name long, span long")
+    return docs.mapInArrow(run, "doc_id long, text_key long, start int, n int, anchor int, name long, span long")
 
 
 def pieces(start: np.ndarray, n: np.ndarray, anchor: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -127,7 +131,7 @@ def pieces(start: np.ndarray, n: np.ndarray, anchor: np.ndarray, window: int) ->
 
 def named(runs: DataFrame, docs: DataFrame, method: Method, single: bool) -> DataFrame:
     """(doc_id, text_key, name, start, n, whole): the runs' pieces, or single windows; `whole` hashes their content."""
-    lists = runs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n", "anchor", "name")).alias("runs"))
+    lists = runs.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "n", "anchor", "name")).alias("runs"))
     lists = lists.toDF("_id", "_key", "runs")
     at = docs["doc_id"].eqNullSafe(lists["_id"]) & (docs["text_key"] == lists["_key"])
     texts = docs.join(lists, at).select("doc_id", "text_key", "text", "runs")
@@ -152,7 +156,7 @@ def named(runs: DataFrame, docs: DataFrame, method: Method, single: bool) -> Dat
                 columns += [pa.array(whole.view(np.int64))]
                 yield from pa.Table.from_arrays(columns, names).to_batches(max_chunksize=1 << 17)
 
-    return texts.mapInArrow(run, "doc_id long, text_key int, name long, start int, n int, anchor int, whole long")
+    return texts.mapInArrow(run, "doc_id long, text_key long, name long, start int, n int, anchor int, whole long")
 
 
 def _place(within: bool) -> list:
@@ -172,8 +176,13 @@ def repeats(docs: DataFrame, method: Method) -> DataFrame:
         other += " OR (nulls > 0 AND low IS NOT NULL)"
         uses.append(F.count_if(F.col("doc_id").isNull()).alias("nulls"))
     # Written first, so the join below has plain shuffles on both sides, which Spark splits where a name is hot.
-    shared = saved(runs.groupBy("name").agg(*uses).where(other).select("name"), "shared-names")
-    some = saved(runs.join(shared, "name"), "shared-runs")
+    parts = []
+    for k in range(SLICES):
+        mine = runs.where(F.pmod("name", F.lit(SLICES)) == k)
+        shared, shared_path = saved_at(mine.groupBy("name").agg(*uses).where(other).select("name"), "shared-names")
+        parts.append(saved(mine.join(shared, "name"), "shared-runs"))
+        discard(spark, shared_path)
+    some = functools.reduce(DataFrame.unionByName, parts)
     discard(spark, path)
 
     place = F.struct(*_place(method.within))
@@ -201,7 +210,7 @@ def without_repeats(docs: DataFrame, method: Method) -> DataFrame:
     """One row for each row of (doc_id, text): doc_id and the method's result columns."""
     rows = keyed(docs)
     found = repeats(rows, method)
-    lists = saved(found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("cuts")), "cuts")
+    lists = saved(found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("cuts")), "cuts")
     lists = lists.toDF("_id", "_key", "cuts")
     at = rows["doc_id"].eqNullSafe(lists["_id"]) & (rows["text_key"] == lists["_key"])
     names = ["doc_id", *(n for n, _ in method.fields)]

@@ -60,7 +60,7 @@ def test_long_texts_are_scanned_whole():
 
 def test_mixing_meets_targets(marked):
     docs, labels, rows, _ = marked
-    found = mixing.mixed(docs, labels, {0: 0.3, 1: 0.7}).collect()
+    found = mixing.document_rates(docs, labels, {0: 0.3, 1: 0.7}).collect()
     assert len(found) == len(rows) and all(r.rate >= 0 for r in found)
     total = sum(r.tokens for r in found)
     posterior = np.array([[r.p_0, r.p_1] for r in found])
@@ -77,8 +77,8 @@ def test_mixing_meets_targets(marked):
     assert many.columns == docs.columns
     least = Counter(map(tuple, docs.collect()))
     assert not least - Counter(map(tuple, many.collect()))
-    assert mixing.mixed(docs.limit(0), labels, {0: 0.5, 1: 0.5}).count() == 0
-    assert mixing.mixed(docs, labels.limit(0), {0: 0.5, 1: 0.5}).count() == len(rows)
+    assert mixing.document_rates(docs.limit(0), labels, {0: 0.5, 1: 0.5}).count() == 0
+    assert mixing.document_rates(docs, labels.limit(0), {0: 0.5, 1: 0.5}).count() == len(rows)
 
 
 def test_mixing_stops_only_when_converged(spark):
@@ -89,7 +89,7 @@ def test_mixing_stops_only_when_converged(spark):
     own = p.T @ tokens
     goal = np.array([0.1, 0.9]) * max(own.sum(), *(own / [0.1, 0.9]))
     rows = spark.createDataFrame([(int(t), float(a), float(b)) for t, (a, b) in zip(tokens, p, strict=True)], "_tokens long, _p0 double, _p1 double").coalesce(1)
-    fit = inspect.signature(mixing.mix_documents).parameters.get("steps") or inspect.signature(mixing.mixed).parameters["steps"]
+    fit = inspect.signature(mixing.fit_rates).parameters["steps"]
     rate = mixing.fitted_rates(rows, goal.tolist(), 1.0, fit.default, 1e-4)
     rate = np.array([r[0] for r in rows.select(rate).collect()])
     assert rate.min() >= 1

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import discard, numbered, packed, saved, saved_at, split_words
 
 #: Counters of words; a fixed size of what the driver gets and what each task holds.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 #: How many prefix tokens two candidates must share to be compared.
 SHARED = 2
 #: A token's key: the class of its counter (7 bits), then this much of its hash.

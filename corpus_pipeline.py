@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import saved
+from quarry.llm.common import WORD, saved
 from quarry.llm.lines import line_dedup
 from quarry.llm.mixing import mix_documents
 from quarry.llm.packing import pack_buckets
 from quarry.llm.simhash import simhash_dedup
 from quarry.llm.toxicity import drop_toxic
 
-#: Shares of tokens by quality label that the mixing stage aims at; with a floor of one no document is lost to it.
-WEIGHTS = {0: 0.1, 1: 0.9}
+#: Shares of tokens by quality label that the mixing stage aims at. With a floor of one no document is lost to it, and
+#: with a ceiling of two at most one more copy of a document is made, even where that leaves a target unreached.
+WEIGHTS, FLOOR, CEILING = {0: 0.1, 1: 0.9}, 1.0, 2.0
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +27,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go; n_chars follows the kept text."""
-    found = line_dedup(docs)
+    """Lines that match an earlier line go, and documents that lose all lines with words; n_chars follows the kept text."""
+    worded = lambda c: F.coalesce(F.col(c).rlike(WORD), F.lit(False))
+    found = line_dedup(docs).where(worded("text") | ~worded("row.text"))
     changed = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
     return found.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
@@ -38,8 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat so that expected tokens meet the target shares; each stays at least once."""
-    return mix_documents(docs, _labels(spark, sf_dir), WEIGHTS)
+    """Documents repeat so that expected tokens come as near to the target shares as floor and ceiling allow."""
+    return mix_documents(docs, _labels(spark, sf_dir), WEIGHTS, floor=FLOOR, ceiling=CEILING)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,116 +8,18 @@ from pyspark.sql import functions as F
 from quarry.plans.registry import Tables, query
 
 
-@query("str_extract_numbers", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+'))), ' ') AS numbers FROM documents")
-def str_extract_numbers(t: Tables) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit("([0-9]+)"))
-    return t.documents.select("doc_id", F.array_join(F.array_sort(F.array_distinct(found)), " ").alias("numbers"))
-
-
-@query(
-    "str_extract_volume",
-    """SELECT product_id, CASE WHEN v = '' THEN 'none' ELSE regexp_replace(regexp_extract(v, '^[0-9.]+'), '\\.0+$', '') || CASE regexp_extract(v, '[a-z]+$') WHEN 'lt' THEN 'l' WHEN 'g' THEN 'gr' ELSE regexp_extract(v, '[a-z]+$') END END AS volume
-    FROM (SELECT product_id, regexp_extract(title || ' ' || size || '.0 lt', '[0-9.]+ ?(lt|l|ml|gr|g)$') AS v FROM (SELECT product_id, title, size FROM products))""",
-)
-def str_extract_volume(t: Tables) -> DataFrame:
-    """The first amount and unit of a title that ends with one; units unified, trailing decimal zeros dropped."""
-    title = F.concat_ws(" ", "title", F.concat(F.col("size").cast("string"), F.lit(".0 lt")))
-    v = F.regexp_extract(title, "[0-9.]+ ?(lt|l|ml|gr|g)$", 0)
-    unit = F.regexp_extract(v, "[a-z]+$", 0)
-    unified = F.when(unit == "lt", "l").when(unit == "g", "gr").otherwise(unit)
-    amount = F.regexp_replace(F.regexp_extract(v, "^[0-9.]+", 0), r"\.0+$", "")
-    return t.products.select("product_id", F.when(v == "", "none").otherwise(F.concat(amount, unified)).alias("volume"))
-
-
-@query("str_path_norm", "SELECT DISTINCT p_type, array_to_string(list_transform(string_split(lower(p_type || ' > ' || p_name), ' > '), lambda x: replace(trim(x), ' ', '-')), '/') AS path FROM part")
-def str_path_norm(t: Tables) -> DataFrame:
-    """A category path: split, folded and joined again."""
-    parts = F.split(F.lower(F.concat_ws(" > ", "p_type", "p_name")), " > ")
-    path = F.array_join(F.transform(parts, lambda x: F.replace(F.trim(x), F.lit(" "), F.lit("-"))), "/")
-    return t.part.select("p_type", path.alias("path")).distinct()
-
-
 @query("str_clean_title", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g'), ' +', ' ', 'g'), ' ')) AS title FROM documents")
 def str_clean_title(t: Tables) -> DataFrame:
     blank = F.regexp_replace(F.regexp_replace("text", r"[\x00-\x1F\x7F]", " "), " +", " ")
     return t.documents.select("doc_id", F.md5(F.trim(blank)).alias("title"))
 
 
-@query("str_signature", "SELECT product_id, array_to_string(list_sort(list_distinct(list_filter(string_split(title, ' '), lambda w: len(w) >= 4))), ' ') AS signature FROM products")
-def str_signature(t: Tables) -> DataFrame:
-    words = F.filter(F.split("title", " "), lambda w: F.length(w) >= 4)
-    return t.products.select("product_id", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("signature"))
-
-
-@query("str_fts_prefix", "SELECT product_id FROM products WHERE len(list_filter(string_split(title, ' '), lambda w: starts_with(w, 're'))) > 0 AND len(list_filter(string_split(title, ' '), lambda w: starts_with(w, 'g'))) > 0")
-def str_fts_prefix(t: Tables) -> DataFrame:
-    """Titles in which each asked word begins some word."""
-    words = F.split("title", " ")
-    has = lambda prefix: F.exists(words, lambda w: w.startswith(prefix))
-    return t.products.where(has("re") & has("g")).select("product_id")
-
-
-@query("str_phonetic", "SELECT DISTINCT title, left(s, 1) || regexp_replace(substr(s, 2), '[aeiou ]', '', 'g') AS skeleton FROM (SELECT title, replace(replace(replace(title, 'ph', 'f'), 'ck', 'k'), 'tt', 't') AS s FROM products)")
-def str_phonetic(t: Tables) -> DataFrame:
-    """Ordered rewrites, then the first letter and the consonants."""
-    s = F.col("title")
-    for old, new in (("ph", "f"), ("ck", "k"), ("tt", "t")):
-        s = F.replace(s, F.lit(old), F.lit(new))
-    skeleton = F.concat(F.substr(s, F.lit(1), F.lit(1)), F.regexp_replace(F.substr(s, F.lit(2)), "[aeiou ]", ""))
-    return t.products.select("title", skeleton.alias("skeleton")).distinct()
-
-
-@query("str_candidate_regex", "SELECT DISTINCT title, CASE WHEN len(list_filter(string_split(title, ' '), lambda w: len(w) < 3)) > 0 THEN 'none' ELSE array_to_string(list_transform(string_split(title, ' '), lambda w: '\\b' || CASE WHEN len(w) <= 4 THEN w ELSE left(w, greatest(4, len(w) - 2)) END), '|') END AS pattern FROM products")
-def str_candidate_regex(t: Tables) -> DataFrame:
-    """Word-start alternatives of the stems; none if a word has under three letters."""
-    from quarry.functions.text import stem
-
-    words = F.split("title", " ")
-    pattern = F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\b"), stem(w))), "|")
-    short = F.exists(words, lambda w: F.length(w) < 3)
-    return t.products.select("title", F.when(short, "none").otherwise(pattern).alias("pattern")).distinct()
-
-
 @query("money_parse", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN floor(c_acctbal * 100 + 0.5)::BIGINT ELSE -1 END AS cents FROM customer")
 def money_parse(t: Tables) -> DataFrame:
     """Positive decimal amounts to minor units, half up; -1 for the rest."""
     return t.customer.select("c_custkey", F.when(F.col("c_acctbal") > 0, F.floor(F.col("c_acctbal") * 100 + 0.5)).otherwise(-1).alias("cents"))
 
 
-@query(
-    "id_gtin_clean",
-    """SELECT product_id, CASE WHEN c LIKE '%0000000' THEN 'uniform' WHEN c LIKE '12345%' THEN 'ascending' WHEN c LIKE '987%' THEN 'descending' ELSE c END AS code FROM
-    (SELECT product_id, lpad((product_id * 1234567)::VARCHAR, 13, '0') AS c FROM products)""",
-)
-def id_gtin_clean(t: Tables) -> DataFrame:
-    """Placeholder codes named by their pattern, others unchanged."""
-    c = F.lpad((F.col("product_id") * 1234567).cast("string"), 13, "0")
-    code = F.when(c.endswith("0000000"), "uniform").when(c.startswith("12345"), "ascending").when(c.startswith("987"), "descending").otherwise(c)
-    return t.products.select("product_id", code.alias("code"))
-
-
-@query("id_gtin_classify", "SELECT product_id, CASE WHEN product_id % 97 = 0 THEN 'invalid' WHEN left(lpad(product_id::VARCHAR, 14, '2'), 1) = '2' THEN 'restricted' ELSE 'valid' END AS kind FROM products")
-def id_gtin_classify(t: Tables) -> DataFrame:
-    code = F.lpad(F.col("product_id").cast("string"), 14, "2")
-    kind = F.when(F.col("product_id") % 97 == 0, "invalid").when(code.startswith("2"), "restricted").otherwise("valid")
-    return t.products.select("product_id", kind.alias("kind"))
-
-
-@query("id_mpn", "SELECT DISTINCT brand, CASE WHEN len(m) < 5 THEN 'none' ELSE m END AS mpn FROM (SELECT brand, upper(regexp_replace(brand || '-' || size, '[^A-Za-z0-9]', '', 'g')) AS m FROM products)")
-def id_mpn(t: Tables) -> DataFrame:
-    """Upper-case codes without separators; short ones are placeholders."""
-    m = F.upper(F.regexp_replace(F.concat_ws("-", "brand", F.col("size").cast("string")), "[^A-Za-z0-9]", ""))
-    return t.products.select("brand", F.when(F.length(m) < 5, "none").otherwise(m).alias("mpn")).distinct()
-
-
-@query("id_option_key", "SELECT product_id, 'brand=' || lower(brand) || ';size=' || size AS option_key FROM products")
-def id_option_key(t: Tables) -> DataFrame:
-    """Axis and value pairs in axis order."""
-    pairs = F.map_entries(F.create_map(F.lit("size"), F.col("size").cast("string"), F.lit("brand"), F.lower("brand")))
-    key = F.array_join(F.transform(F.array_sort(pairs), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
-    return t.products.select("product_id", key.alias("option_key"))
-
-
 @query("json_explode", "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key")
 def json_explode(t: Tables) -> DataFrame:
     return t.events.select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
@@ -144,16 +46,3 @@ def date_previous_period(t: Tables) -> DataFrame:
     """The range of equal length before a range."""
     span = t.events.agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b"))
     return span.select("a", "b", F.expr("date_sub(a, datediff(b, a) + 1)").alias("prior_a"), F.date_sub("a", 1).alias("prior_b"))
-
-
-@query("url_canonical", "SELECT page_id, CASE WHEN len(url) > 2048 OR NOT regexp_matches(url, '^https?://') THEN 'none' ELSE regexp_extract(url, '^[^?#]*') END AS url FROM pages")
-def url_canonical(t: Tables) -> DataFrame:
-    keep = (F.length("url") <= 2048) & F.col("url").rlike("^https?://")
-    return t.pages.select("page_id", F.when(keep, F.regexp_extract("url", "^[^?#]*", 0)).otherwise("none").alias("url"))
-
-
-@query("url_unwrap", "SELECT page_id, CASE WHEN regexp_extract(url, '[?&]ref=([^&#]*)', 1) = '' THEN url ELSE regexp_extract(url, '[?&]ref=([^&#]*)', 1) END AS target FROM pages")
-def url_unwrap(t: Tables) -> DataFrame:
-    """The value of a named query parameter, or the URL itself."""
-    inner = F.regexp_extract("url", "[?&]ref=([^&#]*)", 1)
-    return t.pages.select("page_id", F.when(inner == "", F.col("url")).otherwise(inner).alias("target"))

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from quarry.plans.registry import Tables, query
 
 #: Letters that fold to ASCII, before lower-casing.
-FOLD_FROM = "İIıŞşĞğÜüÖöÇçÂâÎîÛûÉé"
-FOLD_TO = "iiissgguuooccaaiiuuee"
+FOLD_FROM = "ıİIŞşÇçĞğÖöÜüÂâÎîÛû"
+FOLD_TO = "iiissccggoouuaaiiuu"
 
 
 def fold(c: Column) -> Column:
-    """Turkish and a few accented letters become ASCII, then lower case."""
+    """Turkish letters and vowels with a circumflex become ASCII, then lower case."""
     return F.lower(F.translate(c, FOLD_FROM, FOLD_TO))
 
 
 def match_tokens(c: Column) -> Column:
     """Folded words of two characters or more, first occurrences in order, the last eight."""
-    parts = F.array_distinct(F.filter(F.split(fold(c), "[^a-z0-9]+"), lambda w: F.length(w) >= 2))
+    parts = F.array_distinct(F.filter(F.split(fold(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2))
     return F.when(F.size(parts) > 8, F.slice(parts, -8, 8)).otherwise(parts)
 
 
@@ -78,7 +78,7 @@ def str_fold_tr(t: Tables) -> DataFrame:
 @query(
     "str_match_tokens",
     f"""SELECT doc_id, array_to_string(w[greatest(1, len(w) - 7):len(w)], ' ') AS tokens FROM (SELECT doc_id, list_filter(u, lambda x, i: list_position(u, x) = i) AS w FROM
-    (SELECT doc_id, list_filter(regexp_split_to_array({_fold_sql("text")}, '[^a-z0-9]+'), lambda x: len(x) >= 2) AS u FROM documents))""",
+    (SELECT doc_id, list_filter(regexp_split_to_array({_fold_sql("text")}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: len(x) >= 2) AS u FROM documents))""",
 )
 def str_match_tokens(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(match_tokens(F.col("text")), " ").alias("tokens"))
@@ -156,22 +156,6 @@ def id_gtin_check(t: Tables) -> DataFrame:
     return t.products.select("product_id", gtin_valid(code).alias("valid"))
 
 
-@query(
-    "url_normalize",
-    """SELECT page_id, lower(regexp_extract(url, '^https?://(www\\.)?([^/?#]+)', 2)) || rtrim(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/') AS url FROM pages""",
-)
-def url_normalize(t: Tables) -> DataFrame:
-    """Host without www, path without the last slash; query and fragment dropped."""
-    host = F.lower(F.regexp_extract("url", r"^https?://(www\.)?([^/?#]+)", 2))
-    path = F.regexp_replace(F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1), "/+$", "")
-    return t.pages.select("page_id", F.concat(host, path).alias("url"))
-
-
-@query("hash_url16", "SELECT page_id, md5(lower(url)) AS digest FROM pages")
-def hash_url16(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.md5(F.lower("url")).alias("digest"))
-
-
 @query("hash_fingerprint", "SELECT product_id, sha256(concat_ws(chr(31), title, brand, path, size, catalog_price)) AS fingerprint FROM products")
 def hash_fingerprint(t: Tables) -> DataFrame:
     fields = F.concat_ws("\x1f", "title", "brand", "path", F.col("size").cast("string"), F.col("catalog_price").cast("string"))
@@ -195,13 +179,6 @@ def date_iso_week_bucket(t: Tables) -> DataFrame:
     return t.events.groupBy(F.expr("extract(YEAROFWEEK FROM ts)").alias("year"), F.weekofyear("ts").alias("week")).agg(F.count("*").alias("n"))
 
 
-@query("enum_page_area", "SELECT page_id, CASE WHEN url LIKE '%/en/%' THEN 'english' WHEN url LIKE 'http://%' THEN 'plain' WHEN url LIKE '%?%' THEN 'query' ELSE 'other' END AS area FROM pages")
-def enum_page_area(t: Tables) -> DataFrame:
-    url = F.col("url")
-    area = F.when(url.contains("/en/"), "english").when(url.startswith("http://"), "plain").when(url.contains("?"), "query").otherwise("other")
-    return t.pages.select("page_id", area.alias("area"))
-
-
 @query("vec_normalize", "SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / sqrt(list_inner_product(e, e)))), 6) AS total FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
 def vec_normalize(t: Tables) -> DataFrame:
     """Vectors divided by their norm; the sum of components stands for the vector."""

@@ -19,7 +19,7 @@ from quarry.plans.registry import Tables, query
 )
 def agg_product_prices(t: Tables) -> DataFrame:
     """Price range and merchant counts of each product; products without an active merchant keep a row."""
-    live = t.offers.join(F.broadcast(t.merchants.where("active")), "merchant_id")
+    live = t.offers.join(t.merchants.where("active"), "merchant_id")
     own = live.groupBy("product_id").agg(
         F.min(F.when(F.col("local"), F.col("price"))).alias("min_price"),
         F.max(F.when(F.col("local"), F.col("price"))).alias("max_price"),
@@ -73,7 +73,7 @@ def agg_filtered_counts(t: Tables) -> DataFrame:
 )
 def agg_daily_min(t: Tables) -> DataFrame:
     """Cheapest local price of each product and day over the last year."""
-    local = F.broadcast(t.merchants.where("local").select("merchant_id"))
+    local = t.merchants.where("local").select("merchant_id")
     recent = t.prices.where("day > DATE '1998-12-01' - INTERVAL 365 DAY")
     return recent.join(local, "merchant_id", "left_semi").groupBy("product_id", "day").agg(F.min("price").alias("price"))
 
@@ -85,19 +85,22 @@ def agg_daily_min(t: Tables) -> DataFrame:
     dates="day",
 )
 def agg_daily_min_fx(t: Tables) -> DataFrame:
-    abroad = F.broadcast(t.merchants.where("NOT local AND country = 'NATION_7'").select("merchant_id", "country"))
+    abroad = t.merchants.where("NOT local AND country = 'NATION_7'").select("merchant_id", "country")
     return t.prices.where("price > 0").join(abroad, "merchant_id").groupBy("country", "product_id", "day").agg(F.min("price").alias("price"))
 
 
 @query(
     "agg_day_operation_cost",
-    """SELECT ts::DATE AS day, event_type AS operation, count(*) AS calls, count(*) FILTER (value IS NULL) AS unpriced,
-    sum(floor(value * 100)::BIGINT)::BIGINT AS cost FROM events GROUP BY ALL""",
+    """SELECT (ts + INTERVAL 3 HOUR)::DATE AS day, event_type AS operation, count(*) AS calls, count(*) FILTER (event_id % 4 = 0) AS cache_hits, count(*) FILTER (value IS NULL) AS unpriced,
+    sum(floor(value * 100)::BIGINT)::BIGINT AS cost, sum(coalesce(TRY_CAST(props->>'$.k' AS BIGINT), 0))::BIGINT AS units FROM events GROUP BY ALL""",
     dates="day",
 )
 def agg_day_operation_cost(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("operation")).agg(
+    local = F.to_date(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Europe/Istanbul"))
+    return t.events.groupBy(local.alias("day"), F.col("event_type").alias("operation")).agg(
         F.count("*").alias("calls"),
+        F.count_if(F.col("event_id") % 4 == 0).alias("cache_hits"),
+        F.sum(F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(0))).alias("units"),
         F.count_if(F.col("value").isNull()).alias("unpriced"),
         F.sum(F.floor(F.col("value") * 100)).alias("cost"),
     )
@@ -280,7 +283,7 @@ def agg_centroid(t: Tables) -> DataFrame:
     """Mean vector of each label, scaled to length one."""
     means = t.embeddings.select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
     norms = means.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm")).where("norm > 0")
-    return means.join(F.broadcast(norms), "label").select("label", "dim", F.round(F.col("m") / F.col("norm"), 6).alias("value"))
+    return means.join(norms, "label").select("label", "dim", F.round(F.col("m") / F.col("norm"), 6).alias("value"))
 
 
 @query(

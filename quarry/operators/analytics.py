@@ -76,12 +76,21 @@ def di_counters(t: Tables) -> DataFrame:
     )
 
 
-@query("di_hash", "SELECT event_type, sha256(string_agg(event_id || ':' || user_id, ',' ORDER BY event_id)) AS digest FROM events WHERE event_id < 2000 GROUP BY 1")
+@query(
+    "di_hash",
+    """WITH s AS (SELECT event_type, event_id // 1000 AS part, sha256(string_agg(event_id || ':' || user_id, ',' ORDER BY event_id)) AS digest FROM events GROUP BY 1, 2)
+    SELECT event_type, part, digest, sha256(string_agg(digest, ',') OVER (PARTITION BY event_type, part // 1000 ORDER BY part)) AS upto FROM s""",
+)
 def di_hash(t: Tables) -> DataFrame:
-    """A digest of the rows of a published (bounded) data set in canonical order."""
+    """Digests of the data set's rows in canonical order, by ranges of a thousand ids, and the running digest of a thousand ranges.
+
+    A range is bounded by its ids, so no row of the result holds a whole event type.
+    """
     item = F.struct("event_id", F.concat_ws(":", F.col("event_id").cast("string"), F.col("user_id").cast("string")).alias("s"))
     rows = F.transform(F.array_sort(F.collect_list(item)), lambda r: r["s"])
-    return t.events.where("event_id < 2000").groupBy("event_type").agg(F.sha2(F.array_join(rows, ","), 256).alias("digest"))
+    parts = t.events.groupBy("event_type", F.expr("event_id div 1000").alias("part")).agg(F.sha2(F.array_join(rows, ","), 256).alias("digest"))
+    order = Window.partitionBy("event_type", F.expr("part div 1000")).orderBy("part")
+    return parts.withColumn("upto", F.sha2(F.array_join(F.collect_list("digest").over(order), ","), 256))
 
 
 @query(
@@ -294,19 +303,35 @@ def st_user_summary(t: Tables) -> DataFrame:
 
 @query("st_event_dedupe")
 def st_event_dedupe(t: Tables) -> DataFrame:
-    """Views of one user within 30 minutes of the last kept view are dropped; the rule is sequential a user."""
+    """Events that are stored: the first of a (user, event id); of views of one product by one user none within 30
+    minutes of a stored one, of clicks on one query none within 10 minutes; other kinds always.
+
+    An event after a pause as long as the rule's is stored whatever came before, so runs without such a pause are
+    judged apart from each other; only inside a run the rule goes event by event.
+    """
     import pandas as pd
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+    minutes = F.when(F.col("event_type") == "view", 30).when(F.col("event_type") == "click", 10).otherwise(0)
+    rows = t.events.dropDuplicates(["user_id", "event_id"]).select(
+        "user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+        F.get_json_object("props", "$.k").alias("item"), (minutes * 60_000_000).cast("long").alias("pause"),
+    )
+    own = ["user_id", "event_type", "item"]
+    order = Window.partitionBy(*own).orderBy("at", "event_id")
+    fresh = F.coalesce(F.col("at") - F.lag("at").over(order) >= F.col("pause"), F.lit(True))
+    rows = rows.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(order))
+    sizes = rows.withColumn("size", F.count("*").over(Window.partitionBy(*own, "run")))
+
+    def keep(run: pd.DataFrame) -> pd.DataFrame:
         kept, last = [], None
-        for i, ts in rows.sort_values(["ts", "event_id"])[["event_id", "ts"]].itertuples(index=False):
-            if last is None or ts - last >= pd.Timedelta(minutes=30):
+        for i, at, pause in run.sort_values(["at", "event_id"])[["event_id", "at", "pause"]].itertuples(index=False):
+            if last is None or at - last >= pause:
                 kept.append(i)
-                last = ts
+                last = at
         return pd.DataFrame({"event_id": kept}, dtype="int64")
 
-    views = t.events.where("event_type = 'view'").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return views.groupBy("user_id").applyInPandas(keep, "event_id long")
+    alone = sizes.where("size = 1").select("event_id")
+    return alone.unionByName(sizes.where("size > 1").groupBy(*own, "run").applyInPandas(keep, "event_id long"))
 
 
 @query(

@@ -9,54 +9,6 @@ from quarry.functions.text import cosine, jaccard
 from quarry.plans.registry import Tables, query
 
 
-@query(
-    "er_text_score",
-    """WITH w AS (SELECT DISTINCT title, string_split(title, ' ') AS w FROM products) SELECT a.title, b.title AS other, round(least(1, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) + 0.08), 6) AS score
-    FROM w a JOIN w b ON a.title < b.title AND len(list_intersect(a.w, b.w)) > 0""",
-)
-def er_text_score(t: Tables) -> DataFrame:
-    """Token similarity of titles that share a word, plus a bonus, at most one; pairs meet on their words."""
-    rows = t.products.select("title").distinct().withColumn("w", F.split("title", " "))
-    one = rows.select("title", "w", F.explode(F.array_distinct("w")).alias("k"))
-    two = one.select(F.col("title").alias("other"), F.col("w").alias("v"), "k")
-    pairs = one.join(two, "k").where("title < other").select("title", "other", "w", "v").distinct()
-    return pairs.select("title", "other", F.round(F.least(F.lit(1.0), jaccard(F.col("w"), F.col("v")) + 0.08), 6).alias("score"))
-
-
-@query(
-    "er_hybrid",
-    """SELECT a.vec_id, round(least(1, 0.6 * t + 0.4 * i + CASE WHEN t >= 0.6 AND i >= 0.6 THEN 0.06 ELSE 0 END), 6) AS score FROM
-    (SELECT a.vec_id, (a.vec_id % 10) / 10 AS t, greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS i FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) a""",
-)
-def er_hybrid(t: Tables) -> DataFrame:
-    """Text and image scores blended, with a bonus where both are high."""
-    after = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
-    rows = t.embeddings.join(after, "vec_id").select("vec_id", (F.col("vec_id") % 10 / 10).alias("t"), cosine(F.col("embedding"), F.col("b")).alias("i"))
-    return rows.selectExpr("vec_id", "round(least(1D, 0.6D * t + 0.4D * i + CASE WHEN t >= 0.6 AND i >= 0.6 THEN 0.06D ELSE 0D END), 6) AS score")
-
-
-@query(
-    "er_auto",
-    "SELECT product_id, merchant_id, CASE WHEN trust >= 84 AND in_stock THEN 'auto' WHEN trust >= 63 THEN 'queue' ELSE 'new' END AS decision FROM offers JOIN merchants USING (merchant_id)",
-)
-def er_auto(t: Tables) -> DataFrame:
-    decision = F.expr("CASE WHEN trust >= 84 AND in_stock THEN 'auto' WHEN trust >= 63 THEN 'queue' ELSE 'new' END")
-    return t.offers.join(F.broadcast(t.merchants), "merchant_id").select("product_id", "merchant_id", decision.alias("decision"))
-
-
-@query(
-    "er_best_match",
-    """SELECT a.product_id, min(b.product_id) AS match FROM products a JOIN products b ON a.title = b.title AND a.brand = b.brand AND b.product_id <> a.product_id
-    ANTI JOIN (SELECT product_id AS r FROM products WHERE size > 45) x ON x.r = b.product_id GROUP BY 1""",
-)
-def er_best_match(t: Tables) -> DataFrame:
-    """The first product of equal title and brand that was not rejected."""
-    keys = ["title", "brand"]
-    allowed = t.products.join(t.products.where("size > 45").select("product_id"), "product_id", "left_anti").select(*keys, F.col("product_id").alias("match"))
-    pairs = t.products.select(*keys, "product_id").join(allowed, keys).where("product_id <> match")
-    return pairs.groupBy("product_id").agg(F.min("match").alias("match"))
-
-
 @query(
     "er_link_policy",
     """SELECT brand, title, CASE WHEN count(*) = 1 THEN 'unmatched' WHEN count(DISTINCT size) = 1 THEN 'link' ELSE 'hold' END AS decision FROM products GROUP BY ALL""",
@@ -158,19 +110,6 @@ def flt_offer_verified(t: Tables) -> DataFrame:
     return t.prices.where("list_price > price").groupBy("product_id", "merchant_id").agg(F.coalesce(F.bool_or(fresh), F.lit(True)).alias("verified"))
 
 
-@query(
-    "flt_semantic_gate",
-    """WITH s AS (SELECT b.vec_id, a.label, greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < 20 AND b.vec_id >= 20)
-    SELECT label, vec_id, round(max(s), 6) AS score FROM s GROUP BY label, vec_id HAVING max(s) >= 0.30 QUALIFY max(s) >= max(max(s)) OVER (PARTITION BY label) - 0.12""",
-)
-def flt_semantic_gate(t: Tables) -> DataFrame:
-    """Scores above a floor and close enough to the best of their label."""
-    asked = t.embeddings.where("vec_id < 20").select("label", F.col("embedding").alias("q"))
-    scored = t.embeddings.where("vec_id >= 20").join(F.broadcast(asked), "label").groupBy("label", "vec_id").agg(F.max(cosine(F.col("embedding"), F.col("q"))).alias("s"))
-    best = scored.groupBy("label").agg(F.max("s").alias("best"))
-    return scored.join(F.broadcast(best), "label").where("s >= 0.30 AND s >= best - 0.12").select("label", "vec_id", F.round("s", 6).alias("score"))
-
-
 @query(
     "flt_query_private",
     r"SELECT conv_id, turn, regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+') OR regexp_matches(text, '[0-9]{7,}') OR regexp_matches(text, '(?i)(password|secret|token)') AS blocked FROM conversations",
@@ -181,16 +120,6 @@ def flt_query_private(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", blocked.alias("blocked"))
 
 
-@query(
-    "knn_similarity_lookup",
-    "SELECT b.vec_id, round(greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 3 AND b.vec_id IN (5, 8, 13, 21, 34)",
-)
-def knn_similarity_lookup(t: Tables) -> DataFrame:
-    asked = t.embeddings.where("vec_id = 3").select(F.col("embedding").alias("q"))
-    rows = t.embeddings.where(F.col("vec_id").isin(5, 8, 13, 21, 34)).join(F.broadcast(asked))
-    return rows.select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-
-
 @query(
     "ev_near_dup",
     """WITH w AS (SELECT doc_id, list_distinct(string_split(text, ' ')) AS w FROM documents) SELECT a.doc_id AS a, b.doc_id AS b FROM w a JOIN w b ON a.doc_id < b.doc_id AND len(a.w) * 10 >= len(b.w) * 9 AND len(b.w) * 10 >= len(a.w) * 9
@@ -249,7 +178,7 @@ def agg_size_options(t: Tables) -> DataFrame:
 
 @query("agg_store_count", "SELECT product_id, count(DISTINCT lower(trim(merchant))) AS stores FROM offers JOIN merchants USING (merchant_id) WHERE active GROUP BY 1")
 def agg_store_count(t: Tables) -> DataFrame:
-    live = t.offers.join(F.broadcast(t.merchants.where("active")), "merchant_id")
+    live = t.offers.join(t.merchants.where("active"), "merchant_id")
     return live.groupBy("product_id").agg(F.countDistinct(F.lower(F.trim("merchant"))).alias("stores"))
 
 

@@ -27,9 +27,23 @@ _PRF = """round(CASE WHEN count(*) FILTER (guess) = 0 THEN 0 ELSE count(*) FILTE
     round(CASE WHEN count(*) FILTER (guess) + count(*) FILTER (truth) = 0 THEN 0 ELSE 2 * count(*) FILTER (truth AND guess) / (count(*) FILTER (guess) + count(*) FILTER (truth)) END, 6) AS f1"""
 
 
-@query("ev_prf", f"WITH {_JUDGED} SELECT {_PRF} FROM j")
+@query("ev_prf", f"WITH {_JUDGED} SELECT {_PRF}, round(CASE WHEN count(*) FILTER (guess) = 0 THEN 0 ELSE count(*) FILTER (guess AND NOT truth) / count(*) FILTER (guess) END, 6) AS false_match_rate FROM j")
 def ev_prf(t: Tables) -> DataFrame:
-    return prf(judged(t))
+    rows = judged(t)
+    rate = F.count_if(F.expr("guess AND NOT truth")) / F.nullif(F.count_if("guess"), F.lit(0))
+    return prf(rows).join(rows.agg(F.round(F.coalesce(rate, F.lit(0.0)), 6).alias("false_match_rate")))
+
+
+@query(
+    "ev_macro_f1_binary",
+    f"""WITH {_JUDGED}, k AS (SELECT c, truth = (c = 1) AS truth, guess = (c = 1) AS guess FROM j, (SELECT unnest([0, 1]) AS c)),
+    f AS (SELECT CASE WHEN count(*) FILTER (guess) + count(*) FILTER (truth) = 0 THEN 0 ELSE 2 * count(*) FILTER (truth AND guess) / (count(*) FILTER (guess) + count(*) FILTER (truth)) END AS f1 FROM k GROUP BY c)
+    SELECT round(avg(f1), 6) AS macro_f1 FROM f""",
+)
+def ev_macro_f1_binary(t: Tables) -> DataFrame:
+    """The mean F1 of both classes."""
+    f1 = lambda x: F.coalesce(2 * F.count_if(F.expr(f"truth = {x} AND guess = {x}")) / F.nullif(F.count_if(F.expr(f"truth = {x}")) + F.count_if(F.expr(f"guess = {x}")), F.lit(0)), F.lit(0.0))
+    return judged(t).agg(F.round((f1("true") + f1("false")) / 2, 6).alias("macro_f1"))
 
 
 @query("ev_attribute_prf", f"WITH {_JUDGED} SELECT lang, {_PRF} FROM j GROUP BY lang")

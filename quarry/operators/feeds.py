@@ -61,15 +61,17 @@ def cdc_membership(t: Tables) -> DataFrame:
 
 @query(
     "cdc_sweep",
-    f"""WITH s AS (SELECT product_id, merchant_id, max(day) AS seen FROM prices GROUP BY ALL), g AS (SELECT count(*) FILTER (seen < {CUT} - 365) AS gone, count(*) AS total FROM s)
-    SELECT product_id, merchant_id FROM s, g WHERE seen < {CUT} - 365 AND gone * 2 <= total""",
+    f"""WITH s AS (SELECT product_id, merchant_id, max(day) AS seen FROM prices GROUP BY ALL), g AS (SELECT count(*) FILTER (seen < {CUT} - 975) AS gone, count(*) AS total FROM s)
+    SELECT product_id, merchant_id FROM s, g WHERE (product_id, merchant_id % 10) NOT IN (SELECT product_id, merchant_id % 10 FROM prices WHERE day >= {CUT}) AND seen < {CUT} - 975 AND gone * 10 <= total""",
 )
 def cdc_sweep(t: Tables) -> DataFrame:
-    """Offers unseen past the grace period, unless that would take more than half of them all."""
+    """Offers unseen past the grace period that no newer feed (one of ten) lists, unless that would take over a tenth of all."""
     seen = t.prices.groupBy(*KEY).agg(F.max("day").alias("seen"))
-    gone = seen.where(f"seen < {CUT} - INTERVAL 365 DAY")
-    guard = seen.agg((F.count_if(F.expr(f"seen < {CUT} - INTERVAL 365 DAY")) * 2 <= F.count("*")).alias("safe"))
-    return gone.join(F.broadcast(guard)).where("safe").select(*KEY)
+    old = f"seen < {CUT} - INTERVAL 975 DAY"
+    guard = seen.agg((F.count_if(F.expr(old)) * 10 <= F.count("*")).alias("safe"))
+    feed = (F.col("merchant_id") % 10).alias("feed")
+    member = t.prices.where(f"day >= {CUT}").select("product_id", feed).distinct()
+    return seen.where(old).withColumn("feed", feed).join(member, ["product_id", "feed"], "left_anti").join(guard).where("safe").select(*KEY)
 
 
 @query(

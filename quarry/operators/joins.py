@@ -49,9 +49,12 @@ def join_theta_semi(t: Tables) -> DataFrame:
     return t.products.join(low, "product_id").where("lo <= catalog_price * 95 div 100").select("product_id", "catalog_price")
 
 
-@query("join_anti", "SELECT product_id FROM products ANTI JOIN (SELECT product_id FROM offers WHERE in_stock) USING (product_id)")
+@query("join_anti", "SELECT product_id FROM products ANTI JOIN (SELECT product_id FROM offers WHERE in_stock AND day >= (SELECT max(day) - 120 FROM prices)) USING (product_id)")
 def join_anti(t: Tables) -> DataFrame:
-    return t.products.join(t.offers.where("in_stock"), "product_id", "left_anti").select("product_id")
+    """Products without a fresh offer in stock."""
+    newest = t.prices.agg(F.date_sub(F.max("day"), 120).alias("since"))
+    fresh = t.offers.where("in_stock").join(newest).where("day >= since")
+    return t.products.join(fresh, "product_id", "left_anti").select("product_id")
 
 
 @query(
@@ -74,7 +77,7 @@ def join_lateral_topk(t: Tables) -> DataFrame:
     """The three cheapest offers of a merchant; Spark's window group limit keeps three rows a key before the shuffle."""
     order = Window.partitionBy("merchant_id").orderBy("price", "product_id")
     ranked = t.offers.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
-    return ranked.join(F.broadcast(t.merchants.select("merchant_id")), "merchant_id").select("merchant_id", "product_id", "price")
+    return ranked.join(t.merchants.select("merchant_id"), "merchant_id").select("merchant_id", "product_id", "price")
 
 
 @query(
@@ -117,16 +120,15 @@ def join_asof(t: Tables) -> DataFrame:
 @query(
     "join_asof_carry",
     """WITH d AS (SELECT unnest(generate_series(DATE '1998-01-01', DATE '1998-01-31', INTERVAL 1 DAY))::DATE AS day),
-    k AS (SELECT DISTINCT product_id FROM prices WHERE product_id <= 100)
-    SELECT product_id, d.day, (SELECT arg_max(price, (p.day, point_id)) FROM prices p WHERE p.product_id = k.product_id AND p.day <= d.day) AS price
-    FROM k, d""",
+    k AS (SELECT DISTINCT product_id FROM prices), n AS (SELECT product_id, day, arg_max(price, point_id) AS price FROM prices GROUP BY ALL)
+    SELECT g.product_id, g.day, n.price FROM (SELECT product_id, d.day FROM k, d) g ASOF LEFT JOIN n ON n.product_id = g.product_id AND n.day <= g.day""",
     dates="day",
 )
 def join_asof_carry(t: Tables) -> DataFrame:
-    """The last known price of each day of a month, carried forward."""
-    points = t.prices.where("product_id <= 100 AND day <= DATE '1998-01-31'")
+    """The last known price of every product on each day of a month, carried forward."""
+    points = t.prices.where("day <= DATE '1998-01-31'")
     days = F.sequence(F.expr("DATE '1998-01-01'"), F.expr("DATE '1998-01-31'"))
-    grid = t.prices.where("product_id <= 100").select("product_id").distinct().select("product_id", F.explode(days).alias("day"))
+    grid = t.prices.select("product_id").distinct().select("product_id", F.explode(days).alias("day"))
     rows = points.select("product_id", "day", "point_id", "price").unionByName(grid, allowMissingColumns=True)
     order = Window.partitionBy("product_id").orderBy("day", F.col("point_id").asc_nulls_last())
     return rows.withColumn("last", F.last("price", ignorenulls=True).over(order)).where("point_id IS NULL").select("product_id", "day", F.col("last").alias("price"))
@@ -134,17 +136,20 @@ def join_asof_carry(t: Tables) -> DataFrame:
 
 @query(
     "join_fx_asof",
-    """WITH r AS (SELECT day, max(price % 900 + 100) AS rate FROM prices WHERE product_id = 1 GROUP BY 1)
-    SELECT p.point_id, coalesce(CASE WHEN p.day - r.day <= 30 THEN r.rate END, -1) AS rate FROM prices p ASOF LEFT JOIN r ON r.day <= p.day WHERE p.product_id <= 50""",
+    """WITH r AS (SELECT merchant_id % 5 AS currency, day, max(price % 900 + 100) AS rate FROM prices WHERE day_of_month(day) % 3 = 0 GROUP BY 1, 2)
+    SELECT p.point_id, coalesce(CASE WHEN p.day - r.day <= 4 THEN r.rate END, -1) AS rate FROM prices p ASOF LEFT JOIN r ON r.currency = p.merchant_id % 5 AND r.day <= p.day""".replace("day_of_month(day)", "extract(day FROM day)"),
 )
 def join_fx_asof(t: Tables) -> DataFrame:
-    """The newest rate on or before a day, at most 30 days old: the few rates become intervals joined by range."""
-    rates = t.prices.where("product_id = 1").groupBy("day").agg(F.max(F.col("price") % 900 + 100).alias("rate"))
-    until = F.lead("day").over(Window.orderBy("day"))  # one currency's days: a small table by nature
-    spans = rates.withColumn("until", F.least(F.coalesce(until, F.expr("DATE '9999-01-01'")), F.date_add("day", 31))).withColumnRenamed("day", "from")
-    points = t.prices.where("product_id <= 50")
-    inside = (F.col("day") >= F.col("from")) & (F.col("day") < F.col("until"))
-    return points.join(F.broadcast(spans), inside, "left").select("point_id", F.coalesce("rate", F.lit(-1)).alias("rate"))
+    """The newest rate of a point's currency on or before its day, at most four days old.
+
+    Five days at most can hold the answer, so every rate goes to the days it may serve and the newest wins there: an
+    equi-join on currency and day.
+    """
+    rows = t.prices.withColumn("currency", F.col("merchant_id") % 5)
+    rates = rows.where(F.dayofmonth("day") % 3 == 0).groupBy("currency", "day").agg(F.max(F.col("price") % 900 + 100).alias("rate"))
+    serves = rates.select("currency", F.explode(F.sequence("day", F.date_add("day", 4))).alias("on"), "day", "rate")
+    newest = serves.groupBy("currency", "on").agg(F.max_by("rate", "day").alias("rate")).withColumnRenamed("on", "day")
+    return rows.join(newest, ["currency", "day"], "left").select("point_id", F.coalesce("rate", F.lit(-1)).alias("rate"))
 
 
 @query(

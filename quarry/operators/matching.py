@@ -9,24 +9,6 @@ from quarry.functions.text import cosine
 from quarry.plans.registry import Tables, query
 
 
-@query("er_exact", "SELECT a.product_id AS a, b.product_id AS b FROM products a JOIN products b USING (title, brand, size) WHERE a.product_id < b.product_id")
-def er_exact(t: Tables) -> DataFrame:
-    """Pairs with equal title, brand and size."""
-    keys = ["title", "brand", "size"]
-    one, two = (t.products.select(*keys, F.col("product_id").alias(c)) for c in "ab")
-    return one.join(two, keys).where("a < b").select("a", "b")
-
-
-@query(
-    "er_cluster",
-    """SELECT product_id, min(product_id) OVER (PARTITION BY brand, title) AS cluster, count(DISTINCT size) OVER (PARTITION BY brand, title) > 1 AS held FROM products""",
-)
-def er_cluster(t: Tables) -> DataFrame:
-    """Groups by brand and title; a group whose sizes differ is held for review."""
-    groups = t.products.groupBy("brand", "title").agg(F.min("product_id").alias("cluster"), (F.countDistinct("size") > 1).alias("held"))
-    return t.products.join(groups, ["brand", "title"]).select("product_id", "cluster", "held")
-
-
 @query(
     "er_candidate_pairs",
     """WITH g AS (SELECT brand, size, count(*) AS n FROM products GROUP BY ALL) SELECT a.product_id AS a, b.product_id AS b FROM products a JOIN products b USING (brand, size) JOIN g USING (brand, size)
@@ -40,68 +22,6 @@ def er_candidate_pairs(t: Tables) -> DataFrame:
     return one.join(groups, keys, "left_semi").join(two, keys).where("a < b").select("a", "b")
 
 
-@query(
-    "er_veto",
-    """SELECT a.product_id AS a, b.product_id AS b, CASE WHEN a.brand <> b.brand THEN 'brand' WHEN a.size <> b.size THEN 'size' WHEN a.path <> b.path THEN 'path' ELSE 'none' END AS veto
-    FROM products a JOIN products b ON a.title = b.title AND a.product_id < b.product_id WHERE a.product_id <= 300""",
-)
-def er_veto(t: Tables) -> DataFrame:
-    """The first conflict of a pair with equal titles."""
-    one = t.products.where("product_id <= 300").selectExpr("title", "product_id AS a", "brand AS brand_a", "size AS size_a", "path AS path_a")
-    two = t.products.selectExpr("title", "product_id AS b", "brand", "size", "path")
-    veto = F.expr("CASE WHEN brand_a <> brand THEN 'brand' WHEN size_a <> size THEN 'size' WHEN path_a <> path THEN 'path' ELSE 'none' END")
-    return one.join(two, "title").where("a < b").select("a", "b", veto.alias("veto"))
-
-
-@query(
-    "er_calibrate",
-    """WITH s AS (SELECT quality = 1 AS same, n_chars % 1000 AS score FROM labels JOIN documents USING (doc_id))
-    SELECT same, min(score) AS lo, median(score) AS middle, max(score) AS hi FROM s GROUP BY same""",
-)
-def er_calibrate(t: Tables) -> DataFrame:
-    rows = t.labels.join(t.documents, "doc_id").select((F.col("quality") == 1).alias("same"), (F.col("n_chars") % 1000).alias("score"))
-    return rows.groupBy("same").agg(F.min("score").alias("lo"), F.median("score").alias("middle"), F.max("score").alias("hi"))
-
-
-@query(
-    "knn_edges",
-    """WITH c AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
-    SELECT a, b, round(s, 4) AS score FROM c WHERE s >= 0.45 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 4) DESC, b) <= 8""",
-)
-def knn_edges(t: Tables) -> DataFrame:
-    """The eight nearest of each vector within its label, from a similarity floor on."""
-    one = t.embeddings.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    two = t.embeddings.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    pairs = one.join(two, "label").where("a <> b").select("a", "b", cosine(F.col("x"), F.col("y")).alias("s")).where("s >= 0.45")
-    pairs = pairs.select("a", "b", F.round("s", 4).alias("score"))
-    order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return pairs.withColumn("n", F.row_number().over(order)).where("n <= 8").drop("n")
-
-
-@query(
-    "knn_global",
-    """SELECT b.vec_id, round(greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score FROM embeddings a, embeddings b
-    WHERE a.vec_id = 17 AND b.vec_id <> 17 ORDER BY score DESC, b.vec_id LIMIT 120""",
-)
-def knn_global(t: Tables) -> DataFrame:
-    """The 120 nearest of one vector over all rows; one query row is broadcast."""
-    asked = t.embeddings.where("vec_id = 17").select(F.col("embedding").alias("q"))
-    rows = t.embeddings.where("vec_id <> 17").join(F.broadcast(asked))
-    scored = rows.select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(120)
-
-
-@query(
-    "knn_category_exact",
-    """SELECT b.vec_id, round(greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b USING (label)
-    WHERE a.vec_id = 17 AND b.vec_id <> 17 ORDER BY score DESC, b.vec_id LIMIT 40""",
-)
-def knn_category_exact(t: Tables) -> DataFrame:
-    asked = t.embeddings.where("vec_id = 17").select("label", F.col("embedding").alias("q"))
-    rows = t.embeddings.where("vec_id <> 17").join(F.broadcast(asked), "label")
-    return rows.select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(40)
-
-
 @query(
     "q_rrf",
     """WITH a AS (SELECT product_id, row_number() OVER (ORDER BY catalog_price DESC, product_id) AS r FROM products ORDER BY r LIMIT 100),
@@ -120,19 +40,6 @@ def q_rrf(t: Tables) -> DataFrame:
     return both.select("product_id", F.round(part("r") + 0.8 * part("s"), 8).alias("score"))
 
 
-@query(
-    "q_score",
-    """SELECT product_id, merchant_id, trust * CASE WHEN in_stock THEN 10 ELSE 3 END * CASE WHEN local THEN 10 ELSE 8 END * (2000000 - least(price, 1000000)) AS score
-    FROM offers JOIN merchants USING (merchant_id)""",
-)
-def q_score(t: Tables) -> DataFrame:
-    """Trust, stock (1 or 0.3), origin (1 or 0.8) and price folded into one integer score."""
-    rows = t.offers.join(F.broadcast(t.merchants), "merchant_id")
-    stock, origin = F.when(F.col("in_stock"), 10).otherwise(3), F.when(F.col("local"), 10).otherwise(8)
-    score = F.col("trust") * stock * origin * (2000000 - F.least("price", F.lit(1000000)))
-    return rows.select("product_id", "merchant_id", score.alias("score"))
-
-
 @query(
     "q_explain",
     """WITH o AS (SELECT product_id, bool_or(in_stock) AS stock, min(price) AS lo FROM offers GROUP BY 1), f AS (SELECT p.product_id, o.product_id IS NOT NULL AS a, coalesce(stock, false) AS b, path LIKE '%/gear' AS c, coalesce(lo < 100000, false) AS d FROM products p LEFT JOIN o USING (product_id))
@@ -164,21 +71,15 @@ def cat_gate(t: Tables) -> DataFrame:
     return t.products.join(own, "product_id", "left").select("product_id", state.alias("state"))
 
 
-@query("topk_diverse")
+@query(
+    "topk_diverse",
+    """SELECT root, product_id, row_number() OVER (PARTITION BY root ORDER BY catalog_price DESC, product_id)::INT AS place FROM (
+      SELECT *, split_part(path, '/', 1) AS root FROM products QUALIFY row_number() OVER (PARTITION BY split_part(path, '/', 1), brand ORDER BY catalog_price DESC, product_id) <= 2)
+    QUALIFY place <= 10""",
+)
 def topk_diverse(t: Tables) -> DataFrame:
-    """Ten products a root category, greedily by price, at most two a brand: sequential, one small pool a group."""
-    import pandas as pd
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, brands = [], {}
-        for r in rows.sort_values(["catalog_price", "product_id"], ascending=[False, True]).itertuples(index=False):
-            if brands.get(r.brand, 0) < 2 and len(taken) < 10:
-                brands[r.brand] = brands.get(r.brand, 0) + 1
-                taken.append((r.root, r.product_id, len(taken) + 1))
-        return pd.DataFrame(taken, columns=["root", "product_id", "place"])
-
-    root = F.split_part("path", F.lit("/"), F.lit(1))
-    own = Window.partitionBy("root", "brand").orderBy(F.desc("catalog_price"), "product_id")
-    # Only a brand's two best can ever be taken, so the pool of a group is bounded by its brands.
-    pool = t.products.withColumn("root", root).withColumn("n", F.row_number().over(own)).where("n <= 2")
-    return pool.select("root", "brand", "product_id", "catalog_price").groupBy("root").applyInPandas(choose, "root string, product_id long, place int")
+    """Ten products a root category by price, at most two a brand: the greedy choice is a rank in the brand, then in the root."""
+    rows = t.products.withColumn("root", F.split_part("path", F.lit("/"), F.lit(1)))
+    order = [F.desc("catalog_price"), "product_id"]
+    pool = rows.withColumn("n", F.row_number().over(Window.partitionBy("root", "brand").orderBy(*order))).where("n <= 2")
+    return pool.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(*order))).where("place <= 10").select("root", "product_id", "place")

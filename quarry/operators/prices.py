@@ -47,17 +47,17 @@ def ts_price_stats(t: Tables) -> DataFrame:
 
 @query(
     "ts_inflated",
-    """WITH r AS (SELECT * FROM prices WHERE price > 0 AND list_price > 0 QUALIFY count(*) OVER (PARTITION BY product_id, merchant_id) >= 3),
+    """WITH r AS (SELECT * FROM (SELECT * REPLACE (merchant_id % 3 AS merchant_id) FROM prices) WHERE price > 0 AND list_price > 0 QUALIFY count(*) OVER (PARTITION BY product_id, merchant_id) >= 3),
     j AS (SELECT *, lag(list_price) OVER w AS list0, lag(price) OVER w AS price0 FROM r WINDOW w AS (PARTITION BY product_id, merchant_id ORDER BY day, point_id))
     SELECT DISTINCT j.product_id FROM j JOIN r l ON l.product_id = j.product_id AND l.merchant_id = j.merchant_id AND l.day BETWEEN j.day AND j.day + 21
       AND (l.day, l.point_id) >= (j.day, j.point_id)
     WHERE j.list_price * 100 >= j.list0 * 115 AND l.price < j.price AND (l.list_price - l.price) * j.list0 * 10 - (j.list0 - j.price0) * l.list_price * 10 >= l.list_price * j.list0""",
 )
 def ts_inflated(t: Tables) -> DataFrame:
-    """Products with an offer whose list price jumped 15 percent and whose price then fell within 21 days while the
+    """Products with an offer (of one of three seller groups, so that series are dense enough) whose list price jumped 15 percent and whose price then fell within 21 days while the
     shown discount grew by a tenth or more."""
     size = F.count("*").over(Window.partitionBy("product_id", "merchant_id"))
-    rows = t.prices.where("price > 0 AND list_price > 0").withColumn("size", size).where("size >= 3")
+    rows = t.prices.withColumn("merchant_id", F.col("merchant_id") % 3).where("price > 0 AND list_price > 0").withColumn("size", size).where("size >= 3")
     jumps = rows.withColumns({"list0": F.lag("list_price").over(_own()), "price0": F.lag("price").over(_own())}).where("list_price * 100 >= list0 * 115")
     jumps = jumps.select("product_id", "merchant_id", F.col("day").alias("d"), F.col("point_id").alias("p"), F.col("price").alias("price1"), "list0", "price0")
     later = rows.join(jumps, ["product_id", "merchant_id"]).where("day BETWEEN d AND date_add(d, 21) AND (day > d OR point_id >= p) AND price < price1")
@@ -127,7 +127,7 @@ def ts_price_change(t: Tables) -> DataFrame:
 def ts_compare_offers(t: Tables) -> DataFrame:
     """Totals with shipping, free from a threshold on; ties go to trust, then id."""
     total = F.col("price") + F.when(F.col("price") >= 500000, 0).otherwise(4990)
-    rows = t.offers.join(F.broadcast(t.merchants), "merchant_id").withColumn("total", total)
+    rows = t.offers.join(t.merchants, "merchant_id").withColumn("total", total)
     order = Window.partitionBy("product_id").orderBy("total", F.desc("trust"), "merchant_id")
     return rows.select("product_id", "merchant_id", "total", F.row_number().over(order).alias("place"))
 

@@ -10,13 +10,20 @@ from quarry.plans.registry import Tables, query
 
 @query(
     "win_best_offer",
-    """SELECT product_id, merchant_id, price FROM offers JOIN merchants USING (merchant_id) WHERE active
-    QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY local DESC, price, merchant_id) = 1""",
+    """SELECT product_id, merchant_id, price FROM (SELECT *, CASE WHEN local THEN price WHEN merchant_id % 9 <> 0 THEN floor(price * (90 + merchant_id % 20) / 100.0 + 0.5)::BIGINT END AS converted
+      FROM offers JOIN merchants USING (merchant_id) WHERE active)
+    QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY local DESC, converted NULLS LAST, merchant_id) = 1""",
 )
 def win_best_offer(t: Tables) -> DataFrame:
-    """One offer a product: local before foreign, then cheapest, then smallest id. A minimum over a struct combines map-side."""
-    live = t.offers.join(F.broadcast(t.merchants.where("active")), "merchant_id")
-    best = F.min(F.struct((~F.col("local")).alias("abroad"), "price", "merchant_id")).alias("o")
+    """One offer a product: local before foreign, then the cheapest in local money (unknown rates last), then smallest id.
+
+    A minimum over a struct combines map-side.
+    """
+    live = t.offers.join(t.merchants.where("active"), "merchant_id")
+    rate = F.when(F.col("merchant_id") % 9 != 0, 90 + F.col("merchant_id") % 20)
+    converted = F.when(F.col("local"), F.col("price")).otherwise(F.floor(F.col("price") * rate / 100.0 + 0.5))
+    live = live.withColumn("converted", converted)
+    best = F.min(F.struct((~F.col("local")).alias("abroad"), F.col("converted").isNull().alias("unknown"), "converted", "merchant_id", "price")).alias("o")
     return live.groupBy("product_id").agg(best).select("product_id", "o.merchant_id", "o.price")
 
 

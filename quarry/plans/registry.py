@@ -25,6 +25,13 @@ MODULES = (
     "quarry.operators.catalog",
     "quarry.functions.text",
     "quarry.functions.identifiers",
+    "quarry.functions.identity",
+    "quarry.functions.titles",
+    "quarry.operators.resolution",
+    "quarry.operators.nearest",
+    "quarry.operators.requests",
+    "quarry.operators.search",
+    "quarry.operators.series",
 )
 
 
@@ -47,6 +54,10 @@ class Tables:
     def offers(self) -> DataFrame:
         return views.latest_offers(self.prices)
 
+    @cached_property
+    def listings(self) -> DataFrame:
+        return views.listings(self.offers, self.part)
+
     @cached_property
     def products(self) -> DataFrame:
         return views.products(self.part)

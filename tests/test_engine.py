@@ -46,15 +46,46 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_event_dedupe_against_a_loop(spark):
+    import json
+
     kept, last = set(), {}
-    rows = spark.read.parquet(f"{ROOT}/events.parquet").where("event_type = 'view'").orderBy("ts", "event_id").collect()
-    for r in rows:
-        if r.user_id not in last or r.ts - last[r.user_id] >= datetime.timedelta(minutes=30):
-            last[r.user_id] = r.ts
+    pauses = {"view": datetime.timedelta(minutes=30), "click": datetime.timedelta(minutes=10)}
+    for r in spark.read.parquet(f"{ROOT}/events.parquet").orderBy("ts", "event_id").collect():
+        key = (r.user_id, r.event_type, json.loads(r.props).get("k") if r.props else None)
+        pause = pauses.get(r.event_type, datetime.timedelta(0))
+        if key not in last or r.ts - last[key] >= pause:
+            last[key] = r.ts
             kept.add(r.event_id)
     assert {r.event_id for r in registry.queries()["st_event_dedupe"](spark, ROOT).collect()} == kept
 
 
+def test_edit_distance_counts_swaps():
+    from quarry.operators.search import edit_distance
+
+    cases = {("abc", "abc"): 0, ("abc", "acb"): 1, ("widget", "iwdget"): 1, ("", "ab"): 2, ("kitten", "sitting"): 3, ("a", "abcdef"): 4}
+    assert {k: edit_distance(*k) for k in cases} == cases
+
+
+def test_nearest_blocks_equal_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from quarry.operators import nearest
+
+    monkeypatch.setattr(nearest, "BLOCK", 40)
+    monkeypatch.setattr(nearest, "CHUNK", 7)
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(300, 6))
+    vectors[50:90] = vectors[50]
+    rows = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(vectors)] + [(900, 0, None), (901, 0, [0.0] * 6)], "id long, pool int, embedding array<double>")
+    found = {}
+    for r in nearest.nearest(rows.where("id % 20 = 0 AND id < 300"), rows.where("id < 300"), 5).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 6)))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for q in range(0, 300, 20):
+        best = sorted((-round(max(0.0, float(unit[q] @ unit[i])), 6), i) for i in range(q % 2, 300, 2) if i != q)[:5]
+        assert sorted(found[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_diverse_choice_keeps_its_caps(spark):
     found = registry.queries()["topk_diverse"](spark, ROOT).collect()
     brand = {r.p_partkey: r.p_brand for r in spark.read.parquet(f"{ROOT}/part.parquet").collect()}

@@ -1,4 +1,10 @@
-"""From raw documents to packed batches: five stages of training-data operators, each over all that the last one kept."""
+"""From raw documents to packed batches: five stages of training-data operators, each over all that the last one kept.
+
+Defined results: rows with null or blank texts pass every stage and are packed with no tokens (of equal ones SimHash keeps
+one); repeated rows are scored alike, count as one document for line dedup and SimHash and are repeated alike; extra
+columns pass through up to packing; a document that loses its last line with a word to line dedup goes; empty tables give
+an empty result.
+"""
 
 from __future__ import annotations
 
@@ -57,7 +63,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: A trained classifier decides the first stage, so SQL can't express the result; tests hold it against brute force.
+#: A trained classifier decides the first stage, so SQL can't express the result; tests/llm/test_pipeline.py holds each
+#: stage against brute force on the stage's own input.
 ORACLE_SQL = None
 
 

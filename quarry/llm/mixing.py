@@ -7,7 +7,7 @@ r * tokens * posterior, match the targets in the least-squares sense.
 
 The fit is projected gradient descent. Each step needs two aggregations over the narrow table of tokens and
 posteriors; only a few sums reach the driver. Steps are scaled by the domains' shared tokens over the documents that
-are free to move; of the whole step, its halves and a plain gradient step the one with the least squared gap is
+are free to move; of several lengths of that step and of a plain gradient step the one with the least squared gap is
 taken, so every step gains. The fit ends when the targets are met or a plain step could not close a tenth of `close`.
 Every few steps the rates are written to a table, so no expression grows; a document's final rate is the fold of all
 steps over its posteriors.
@@ -154,7 +154,9 @@ def fitted_rates(rows: DataFrame, targets: list[float], floor: float, steps: int
             break
         shared = np.array(shared).reshape(k, k)
         newton = np.linalg.lstsq(shared + 1e-9 * np.trace(shared) * np.eye(k), gap, rcond=None)[0]
-        tried = [newton / 2**i for i in range(7)] + [gap / steepest]  # the last, a plain step, always lessens the loss
+        plain = gap / steepest
+        # Long steps take rates to their bounds at once; the last, a plain step, always lessens the loss.
+        tried = [newton * x for x in (4, 1, 0.5, 0.25, 1 / 16)] + [plain * x for x in (4096, 64, 1)]
         trials = now.select("*", *[stepped(F.col("_now"), [m], floor, ceiling).alias(f"_r{i}") for i, m in enumerate(tried)])
         totals = sums(trials, [x for i in range(len(tried)) for x in spent(F.col(f"_r{i}"))])
         gaps = totals.reshape(len(tried), k) - goal
@@ -165,6 +167,7 @@ def fitted_rates(rows: DataFrame, targets: list[float], floor: float, steps: int
         moves.append(tried[best])
         pending.append(moves[-1])
         gap = gaps[best]
+        log.info("mixing: step %d, trial %d, gap %s of the largest target", len(moves), best, (gap / size).round(7).tolist())
         if len(pending) == SAVE_EVERY:
             spark, old = rows.sparkSession, path
             rows, path = saved_at(rows.select("_tokens", *names, stepped(rate, pending, floor, ceiling).alias("_rate")), "mixing-rates")

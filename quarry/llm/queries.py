@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.lines import LINE_DEDUP_SQL, line_dedup
 from quarry.llm.mixing import document_rates
+from quarry.llm.oracles import REPEATED_BYTES_SQL, REPEATED_WORDS_SQL, repetition_sql
 from quarry.llm.packing import pack_buckets, packing_sql
 from quarry.llm.repetition import repetition_quality
 from quarry.llm.shards import feistel_shards
@@ -87,4 +88,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": LINE_DEDUP_SQL, "op9_bit_sliced_top_k": TOP_K_SQL, "op10_length_buckets": packing_sql()}
+    return {
+        "op3_recompression": REPEATED_WORDS_SQL,
+        "op4_repetition_coverage": repetition_sql(),
+        "op5_prefix_doubling": REPEATED_BYTES_SQL,
+        "op8_line_dedup": LINE_DEDUP_SQL,
+        "op9_bit_sliced_top_k": TOP_K_SQL,
+        "op10_length_buckets": packing_sql(),
+    }

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
 from quarry.llm import packing, repetition, shards, simhash
@@ -137,21 +138,22 @@ def test_simhash(docs, rows, empty, spark):
     expected = Counter((i, f"{p:016x}", min(least[g], default=None)) for g, (i, p) in zip(group, prints, strict=True))
     found = simhash.simhash_components(docs)
     assert as_rows(found.select("doc_id", "fingerprint", "component_id")) == expected
-    kept = simhash.simhash_dedup(docs)
+    kept = simhash.simhash_dedup(docs, 3, 3)
     assert kept.columns == docs.columns and kept.count() == len(set(group))
     assert simhash.simhash_components(empty).count() == 0 and simhash.simhash_dedup(empty).count() == 0
 
 
-def test_vantage_point_trees_lose_no_link(spark):
+@pytest.mark.parametrize("radius", [3, 7])
+def test_vantage_point_trees_lose_no_link(spark, radius):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**64, 900, np.uint64)
-    near = [p ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 3).astype(np.uint64)) for p in base[:300]]
+    near = [p ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, radius).astype(np.uint64)) for p in base[:300]]
     tight = [base[0] ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for a, b in rng.integers(0, 64, (1500, 2))]
     points = np.unique(np.concatenate([base, near, tight]))
     df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
     from quarry.llm.graph import connected_components
 
-    found = {r.node: r.root for r in connected_components(simhash.links_between(df, leaf=16)).collect()}
+    found = {r.node: r.root for r in connected_components(simhash.links_between(df, leaf=16, radius=radius)).collect()}
     parent = list(range(len(points)))
 
     def root(x):
@@ -161,7 +163,7 @@ def test_vantage_point_trees_lose_no_link(spark):
         return x
 
     for i in range(len(points)):
-        for j in np.flatnonzero(np.bitwise_count(points[:i] ^ points[i]) <= 3):
+        for j in np.flatnonzero(np.bitwise_count(points[:i] ^ points[i]) <= radius):
             parent[root(i)] = root(int(j))
     groups = defaultdict(set)
     for i, p in enumerate(points.view(np.int64)):

@@ -5,15 +5,20 @@ from quarry.llm.repetition import COVERAGE_LIMITS, LINE_LIMIT
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def _grams(n: int) -> str:
+    """Every n-gram of every document with its place."""
+    frame = f"(PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
+    return f"(SELECT doc_id, i, md5_number(string_agg(w, ' ') OVER {frame}) AS g FROM p QUALIFY count(*) OVER {frame} = {n})"
+
+
 def _coverage(n: int) -> str:
     """The characters of words inside n-grams that repeat an earlier one, by document."""
-    return f"""g{n} AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, array_to_string(w[i:i + {n - 1}], ' ') ORDER BY i) AS nth
-  FROM p WHERE i <= len(w) - {n - 1}),
+    inside = f"max(nth) OVER (PARTITION BY doc_id ORDER BY i RANGE BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"""g{n} AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS nth FROM {_grams(n)}),
 c{n} AS (
-  SELECT doc_id, sum(size)::BIGINT AS chars FROM (
-    SELECT DISTINCT p.doc_id, p.i, length(p.w[p.i]) AS size FROM p JOIN g{n} g ON g.doc_id = p.doc_id AND g.nth > 1
-      AND p.i BETWEEN g.i AND g.i + {n - 1}) GROUP BY doc_id)"""
+  SELECT doc_id, sum(length(w)) FILTER (nth > 1)::BIGINT AS chars FROM (
+    SELECT p.doc_id, p.w, {inside.replace("nth", "coalesce(nth, 0)").replace("doc_id", "p.doc_id").replace("BY i", "BY p.i")} AS nth
+    FROM p LEFT JOIN g{n} g ON g.doc_id = p.doc_id AND g.i = p.i) GROUP BY doc_id)"""
 
 
 def repetition_sql() -> str:
@@ -22,8 +27,8 @@ def repetition_sql() -> str:
     fine = " AND ".join(f"100 * {dup[n]} <= {COVERAGE_LIMITS[n]} * word_chars" for n in sizes)
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
-p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 2], ' ')) AS uses FROM p WHERE i <= len(w) - 2),
+p AS MATERIALIZED (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM d),
+t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS uses FROM {_grams(3)}),
 r AS (
   SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS k FROM t WHERE uses > 1)
   GROUP BY doc_id),
@@ -48,16 +53,14 @@ FROM m LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id) {" ".join(f"LEFT JO
 
 
 REPEATED_WORDS_SQL = f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-g AS (
-  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 49], ' ')) AS least FROM p WHERE i <= len(w) - 49),
-c AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(50)) AS k FROM g WHERE least < doc_id)),
+WITH p AS MATERIALIZED (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) < doc_id AS later FROM {_grams(50)}),
 k AS (
-  SELECT p.doc_id, count(c.i)::BIGINT AS n_removed, string_agg(w[p.i], ' ' ORDER BY p.i) FILTER (c.i IS NULL) AS kept
-  FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.i = p.i GROUP BY p.doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN k USING (doc_id)"""
+  SELECT doc_id, count(*)::BIGINT AS n_words, count_if(gone)::BIGINT AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM (
+    SELECT p.doc_id, p.i, p.w, coalesce(bool_or(later) OVER (PARTITION BY p.doc_id ORDER BY p.i RANGE BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+    FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.i = p.i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN k USING (doc_id)"""
 
 
 # Bytes as hex; texts are cut into blocks of 4,096 bytes that overlap by 99, so a window is a slice of one block.

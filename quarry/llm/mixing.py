@@ -8,7 +8,8 @@ r * tokens * posterior, match the targets in the least-squares sense.
 The fit is projected gradient descent. Each step needs two aggregations over the narrow table of tokens and
 posteriors; only a few sums reach the driver. Steps are scaled by the domains' shared tokens over the documents that
 are free to move; of several lengths of that step and of a plain gradient step the one with the least squared gap is
-taken, so every step gains. The fit ends when the targets are met or a plain step could not close a tenth of `close`.
+taken, so every step gains. The fit ends when the targets are met, a plain step could not close a tenth of `close`,
+or no step gains a millionth of the squared gap.
 Every few steps the rates are written to a table, so no expression grows; a document's final rate is the fold of all
 steps over its posteriors.
 
@@ -37,6 +38,8 @@ from quarry.llm.common import discard, packed, saved, saved_at, split_words
 MEASURES = ("log_words", "symbol_share", "word_length", "distinct_share", "repeat_share")
 SYMBOLS = "#*$%&|<>"
 log = logging.getLogger(__name__)
+#: A step that lessens the squared gap by less than this share ends the fit.
+LEAST_GAIN = 1e-6
 #: Steps of the fit between two writes of the rates.
 SAVE_EVERY = 8
 
@@ -162,7 +165,7 @@ def fitted_rates(rows: DataFrame, targets: list[float], floor: float, steps: int
         gaps = totals.reshape(len(tried), k) - goal
         losses = (gaps * gaps).sum(axis=1)
         best = int(losses.argmin())
-        if losses[best] >= gap @ gap:  # only rounding is left
+        if losses[best] >= (1 - LEAST_GAIN) * (gap @ gap):  # the bounds hold the rates; hardly more than rounding is left
             break
         moves.append(tried[best])
         pending.append(moves[-1])
@@ -226,8 +229,12 @@ def unit(doc_id: Column, text: Column) -> Column:
 
 
 def rated(rows: DataFrame, fit: Fit) -> DataFrame:
-    """`rows`, which carry measures and _unit, with posteriors, _rate and _copies."""
-    out = rows.withColumns(fit.posteriors).withColumn("_rate", fit.rate)
+    """`rows`, which carry measures and _unit, with posteriors, _rate and _copies.
+
+    The explode of one struct keeps Spark from evaluating the measures again in every step of the rate's fold.
+    """
+    once = rows.select("*", F.explode(F.array(F.struct(*[p.alias(n) for n, p in fit.posteriors.items()]))).alias("_posteriors"))
+    out = once.select("*", *[F.col("_posteriors")[n].alias(n) for n in fit.posteriors]).withColumn("_rate", fit.rate)
     copies = F.floor("_rate") + (F.col("_unit") < F.col("_rate") - F.floor("_rate")).cast("long")
     return out.withColumn("_copies", copies.cast("long"))
 

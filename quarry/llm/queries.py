@@ -12,6 +12,7 @@ from quarry.llm.mixing import document_rates
 from quarry.llm.oracles import REPEATED_BYTES_SQL, REPEATED_WORDS_SQL, repetition_sql
 from quarry.llm.packing import pack_buckets, packing_sql
 from quarry.llm.repetition import repetition_quality
+from quarry.llm.resampling import RESAMPLE_SQL, importance_resample
 from quarry.llm.shards import feistel_shards
 from quarry.llm.simhash import simhash_components
 from quarry.llm.substrings import remove_repeated_words
@@ -71,6 +72,14 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_buckets(_documents(spark, sf_dir))
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op11_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash_vp_tree,
@@ -83,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_bit_sliced_top_k,
         op10_length_buckets,
+        op11_crc_resampling,
     )
     return {f.__name__: f for f in found}
 
@@ -95,4 +105,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": LINE_DEDUP_SQL,
         "op9_bit_sliced_top_k": TOP_K_SQL,
         "op10_length_buckets": packing_sql(),
+        "op11_crc_resampling": RESAMPLE_SQL,
     }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.lexical import LEXICAL_SQL, lexical_search
 from quarry.llm.lines import LINE_DEDUP_SQL, line_dedup
 from quarry.llm.mixing import document_rates
 from quarry.llm.oracles import REPEATED_BYTES_SQL, REPEATED_WORDS_SQL, repetition_sql
@@ -80,6 +81,10 @@ def op11_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
 
 
+def op12_max_score_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash_vp_tree,
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_bit_sliced_top_k,
         op10_length_buckets,
         op11_crc_resampling,
+        op12_max_score_search,
     )
     return {f.__name__: f for f in found}
 
@@ -106,4 +112,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_bit_sliced_top_k": TOP_K_SQL,
         "op10_length_buckets": packing_sql(),
         "op11_crc_resampling": RESAMPLE_SQL,
+        "op12_max_score_search": LEXICAL_SQL,
     }

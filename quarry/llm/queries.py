@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.lexical import LEXICAL_SQL, lexical_search
+from quarry.llm.licenses import license_scan, license_sql
 from quarry.llm.lines import LINE_DEDUP_SQL, line_dedup
 from quarry.llm.mixing import document_rates
 from quarry.llm.oracles import REPEATED_BYTES_SQL, REPEATED_WORDS_SQL, repetition_sql
@@ -85,6 +86,10 @@ def op12_max_score_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
 
 
+def op13_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash_vp_tree,
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_length_buckets,
         op11_crc_resampling,
         op12_max_score_search,
+        op13_template_licenses,
     )
     return {f.__name__: f for f in found}
 
@@ -113,4 +119,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_length_buckets": packing_sql(),
         "op11_crc_resampling": RESAMPLE_SQL,
         "op12_max_score_search": LEXICAL_SQL,
+        "op13_template_licenses": license_sql(),
     }

@@ -91,7 +91,11 @@ def could_match(percent: int) -> Column:
 
 
 def similar(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """The numbers `no` of the pairs (no, other) whose words match; 32-bit hashes rule out most pairs before words do."""
+    """The numbers `no` of the pairs (no, other) whose words match; 32-bit hashes rule out most pairs before words do.
+
+    Words of one line that share a hash count as one there, so the smaller number of words lost that way is added to the
+    hashes in common: the sum is never less than the words in common.
+    """
     wanted = pairs.select(F.explode(F.array("no", "other")).alias("no")).distinct()
     words = split_words(F.col("content"), line=True)
     hashes = F.array_distinct(F.transform(words, lambda w: F.hash(w)))
@@ -103,7 +107,8 @@ def similar(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
         both = pairs.join(one, "no").join(one.toDF("other", "n2", "y"), "other")
         return both.where(common * (100 + percent) >= percent * (F.col("n") + F.col("n2"))).select("no", "other")
 
-    near = saved(reached(pairs, "h", F.size(F.array_intersect("x", "y"))), "line-near")
+    lost = F.least(F.col("n") - F.size("x"), F.col("n2") - F.size("y"))
+    near = saved(reached(pairs, "h", F.size(F.array_intersect("x", "y")) + lost), "line-near")
     words = [split_words(F.col(c), line=True) for c in ("x", "y")]
     found = reached(near, "content", F.size(F.array_intersect(*words)))
     found = saved(found.select("no").distinct(), "line-similar")

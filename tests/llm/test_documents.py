@@ -217,3 +217,19 @@ def test_packing(docs, rows, empty):
         assert len({r.bucket for r in b}) == 1 and sorted(r.slot for r in b) == list(range(len(b)))
         assert len(b) == 1 or len(b) * b[0].padded_len <= 400
     assert packing.pack_buckets(empty).count() == 0
+
+
+def test_lines_whose_words_share_a_hash_still_match(spark):
+    """w254943 and w267111 have one 32-bit hash; the two lines' similarity is exactly 0.8."""
+    shared = "w254943 w267111 a b c d e f"
+    pairs = spark.createDataFrame([(1, f"{shared} one"), (2, f"{shared} two")], "doc_id long, text string")
+    assert pairs.sparkSession.sql("SELECT hash('w254943') = hash('w267111')").first()[0]
+    assert {r.row.doc_id: r.n_removed for r in line_dedup(pairs).collect()} == {1: 0, 2: 1}
+
+
+def test_a_thousand_equal_and_a_thousand_near_equal_lines(spark):
+    """All but the first of a large group go, whether its lines are equal or differ in one word of twenty."""
+    words = " ".join(f"word{i}" for i in range(20))
+    rows = [(i, words if i < 1000 else f"{words} own{i}") for i in range(2000)]
+    found = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.row.doc_id: r.n_removed for r in found} == {i: int(i > 0) for i in range(2000)}

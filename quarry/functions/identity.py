@@ -32,7 +32,7 @@ UNIT_AFTER_BLANK = r"(\d)\s+(gb|tb|mb|ml|l|lt|g|gr|kg|cm|mm|adet)\b"
 def _accented() -> tuple[str, str]:
     """Latin letters that decompose to one letter and marks, and those letters."""
     pairs = []
-    for c in map(chr, range(0xC0, 0x250)):
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if len(base) == 1 and base != c:
             pairs.append((c, base))
@@ -56,6 +56,25 @@ def folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(strip_accents(text)), "[^a-z0-9]+", " "))
 
 
+def singular(word: Column) -> Column:
+    """A folded word without a plural s (glass and dress keep theirs)."""
+    plural = (F.length(word) > 3) & word.endswith("s") & ~word.endswith("ss")
+    return F.when(plural, F.substr(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+
+
+def fold_words(text: Column) -> Column:
+    """The folded words of a text, in the singular."""
+    return F.transform(F.filter(F.split(folded(text), " "), lambda w: w != ""), singular)
+
+
+def singular_sql(w: str) -> str:
+    return f"CASE WHEN len({w}) > 3 AND right({w}, 1) = 's' AND right({w}, 2) <> 'ss' THEN left({w}, len({w}) - 1) ELSE {w} END"
+
+
+def fold_words_sql(x: str) -> str:
+    return f"list_transform(list_filter(string_split({folded_sql(x)}, ' '), lambda w: w <> ''), lambda w: {singular_sql('w')})"
+
+
 def folded_sql(x: str) -> str:
     return f"trim(regexp_replace(lower({strip_accents_sql(x)}), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -155,20 +174,17 @@ def option_key(*options: tuple[Column, Column]) -> Column:
     return F.array_join(F.transform(F.array_sort(known), lambda e: F.concat_ws("=", e["axis"], e["value"])), ";")
 
 
-@query("str_strip_accents", f"SELECT doc_id, md5({strip_accents_sql('text')}) AS plain FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F\\x{{C0}}-\\x{{24F}}\\x{{2010}}-\\x{{2027}}]')")
+@query("str_strip_accents", f"SELECT doc_id, md5({strip_accents_sql('text')}) AS plain FROM documents")
 def str_strip_accents(t: Tables) -> DataFrame:
-    """Texts of ASCII, Latin letters and typographic marks without accents (letters of other scripts are out of the table's range)."""
-    latin = ~F.col("text").rlike(r"[^\x00-\x7F\u00C0-\u024F\u2010-\u2027]")
-    return t.documents.where(latin).select("doc_id", F.md5(strip_accents(F.col("text"))).alias("plain"))
+    """Whole texts without the marks of Latin letters; letters of other scripts stay as they are."""
+    return t.documents.select("doc_id", F.md5(strip_accents(F.col("text"))).alias("plain"))
 
 
-@query("str_fold_words", f"SELECT doc_id, md5(array_to_string(list_transform(string_split({folded_sql('text')}, ' '), lambda w: CASE WHEN len(w) > 3 AND right(w, 1) = 's' AND right(w, 2) <> 'ss' THEN left(w, len(w) - 1) ELSE w END), ' ')) AS words FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F\\x{{C0}}-\\x{{24F}}\\x{{2010}}-\\x{{2027}}]')")
+@query("str_fold_words", f"SELECT doc_id, md5(array_to_string(list_transform(string_split({folded_sql('text')}, ' '), lambda w: CASE WHEN len(w) > 3 AND right(w, 1) = 's' AND right(w, 2) <> 'ss' THEN left(w, len(w) - 1) ELSE w END), ' ')) AS words FROM documents")
 def str_fold_words(t: Tables) -> DataFrame:
     """ASCII words without a plural s (glass and dress keep theirs)."""
-    one = lambda w: F.when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w)
-    latin = ~F.col("text").rlike(r"[^\x00-\x7F\u00C0-\u024F\u2010-\u2027]")
-    words = F.array_join(F.transform(F.split(folded(F.col("text")), " "), one), " ")
-    return t.documents.where(latin).select("doc_id", F.md5(words).alias("words"))
+    words = F.array_join(F.transform(F.split(folded(F.col("text")), " "), singular), " ")
+    return t.documents.select("doc_id", F.md5(words).alias("words"))
 
 
 @query("str_path_norm", f"SELECT DISTINCT p_type, left(array_to_string(list_filter(list_transform(regexp_split_to_array(p, '\\s*(>|/|\\|)\\s*'), lambda x: {folded_sql('x')}), lambda x: x <> ''), ' > '), 500) AS path FROM (SELECT p_type, replace(p_type, ' ', CASE WHEN p_size % 3 = 0 THEN ' > ' WHEN p_size % 3 = 1 THEN '/' ELSE ' | ' END) || '//' || p_brand AS p FROM part)")

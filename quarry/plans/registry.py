@@ -32,6 +32,9 @@ MODULES = (
     "quarry.operators.requests",
     "quarry.operators.search",
     "quarry.operators.series",
+    "quarry.operators.classify",
+    "quarry.operators.brands",
+    "quarry.operators.spelling",
 )
 
 

@@ -35,6 +35,7 @@ MODULES = (
     "quarry.operators.classify",
     "quarry.operators.brands",
     "quarry.operators.spelling",
+    "quarry.operators.dynamic",
 )
 
 

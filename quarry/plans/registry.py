@@ -36,6 +36,7 @@ MODULES = (
     "quarry.operators.brands",
     "quarry.operators.spelling",
     "quarry.operators.dynamic",
+    "quarry.operators.queries",
 )
 
 

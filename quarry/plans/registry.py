@@ -37,6 +37,7 @@ MODULES = (
     "quarry.operators.spelling",
     "quarry.operators.dynamic",
     "quarry.operators.queries",
+    "quarry.operators.sources",
 )
 
 

@@ -38,6 +38,7 @@ MODULES = (
     "quarry.operators.dynamic",
     "quarry.operators.queries",
     "quarry.operators.sources",
+    "quarry.operators.pages",
 )
 
 

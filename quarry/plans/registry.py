@@ -39,6 +39,9 @@ MODULES = (
     "quarry.operators.queries",
     "quarry.operators.sources",
     "quarry.operators.pages",
+    "quarry.operators.merge",
+    "quarry.operators.diverse",
+    "quarry.operators.suggest",
 )
 
 

@@ -27,6 +27,7 @@ MODULES = (
     "quarry.functions.identifiers",
     "quarry.functions.identity",
     "quarry.functions.titles",
+    "quarry.functions.extents",
     "quarry.operators.resolution",
     "quarry.operators.nearest",
     "quarry.operators.requests",

@@ -76,21 +76,34 @@ def di_counters(t: Tables) -> DataFrame:
     )
 
 
+_UP = """SELECT event_type, {n} AS level, part // 1000 AS part, sha256(string_agg(digest, ',' ORDER BY part)) AS digest FROM h{m} GROUP BY event_type, part // 1000"""
+
+
 @query(
     "di_hash",
-    """WITH s AS (SELECT event_type, event_id // 1000 AS part, sha256(string_agg(event_id || ':' || user_id, ',' ORDER BY event_id)) AS digest FROM events GROUP BY 1, 2)
-    SELECT event_type, part, digest, sha256(string_agg(digest, ',') OVER (PARTITION BY event_type, part // 1000 ORDER BY part)) AS upto FROM s""",
+    f"""WITH h0 AS (SELECT event_type, 0 AS level, event_id // 1000 AS part, sha256(string_agg(event_id || ':' || user_id, ',' ORDER BY event_id)) AS digest FROM events GROUP BY ALL),
+    h1 AS ({_UP.format(n=1, m=0)}), h2 AS ({_UP.format(n=2, m=1)}), h3 AS ({_UP.format(n=3, m=2)})
+    SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3""",
 )
 def di_hash(t: Tables) -> DataFrame:
-    """Digests of the data set's rows in canonical order, by ranges of a thousand ids, and the running digest of a thousand ranges.
+    """Digests of each event type's rows in canonical order, as a tree: of a thousand ids, of a thousand such digests, and so on.
 
-    A range is bounded by its ids, so no row of the result holds a whole event type.
+    A node is bounded by its ids, so no row holds a whole event type; at a level of one part its digest covers all rows of the
+    type. Three levels above the first cover ids up to 10^12.
     """
-    item = F.struct("event_id", F.concat_ws(":", F.col("event_id").cast("string"), F.col("user_id").cast("string")).alias("s"))
-    rows = F.transform(F.array_sort(F.collect_list(item)), lambda r: r["s"])
-    parts = t.events.groupBy("event_type", F.expr("event_id div 1000").alias("part")).agg(F.sha2(F.array_join(rows, ","), 256).alias("digest"))
-    order = Window.partitionBy("event_type", F.expr("part div 1000")).orderBy("part")
-    return parts.withColumn("upto", F.sha2(F.array_join(F.collect_list("digest").over(order), ","), 256))
+    return digest_tree(t.events, "event_type", "event_id", F.concat_ws(":", F.col("event_id").cast("string"), F.col("user_id").cast("string")))
+
+
+def digest_tree(rows: DataFrame, group: str, number: str, text: Column, levels: int = 3, width: int = 1000) -> DataFrame:
+    """group, level, part and digest of rows with a non-negative number each."""
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda r: r["s"]), ","), 256).alias("digest")
+    up = lambda c: F.expr(f"{c} div {width}").alias("part")
+    level = rows.groupBy(group, up(number)).agg(joined(F.struct(number, text.alias("s"))))
+    out = level.withColumn("level", F.lit(0))
+    for n in range(1, levels + 1):
+        level = level.groupBy(group, up("part")).agg(joined(F.struct("part", F.col("digest").alias("s"))))
+        out = out.unionByName(level.withColumn("level", F.lit(n)))
+    return out
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,10 +226,19 @@ def set_union_distinct(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_nationkey").alias("nation")).union(t.supplier.select("s_nationkey")).distinct()
 
 
-@query("gen_series", "SELECT unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '1998-01-02', INTERVAL 1 HOUR))::VARCHAR AS hour")
+@query(
+    "gen_series",
+    """SELECT s.day::DATE::VARCHAR AS day, coalesce(n, 0) AS orders FROM (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS day FROM (
+      SELECT min(o_orderdate)::DATE::TIMESTAMP AS lo, max(o_orderdate)::DATE::TIMESTAMP AS hi FROM orders)) s
+    LEFT JOIN (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1) o ON o.day = s.day::DATE""",
+)
 def gen_series(t: Tables) -> DataFrame:
-    hours = F.expr("sequence(TIMESTAMP_NTZ '1998-01-01 00:00:00', TIMESTAMP_NTZ '1998-01-02 00:00:00', INTERVAL 1 HOUR)")
-    return t.spark.range(1).select(F.explode(hours).alias("hour")).select(F.col("hour").cast("string"))
+    """Every day from the first order to the last, with its orders, days without any included."""
+    days = t.orders.select(F.to_date("o_orderdate").alias("day"))
+    span = days.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where("lo IS NOT NULL")
+    series = span.select(F.explode(F.sequence("lo", "hi")).alias("day"))
+    counts = days.groupBy("day").agg(F.count("*").alias("n"))
+    return series.join(counts, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("orders"))
 
 
 @query(
@@ -238,6 +249,7 @@ def gen_series(t: Tables) -> DataFrame:
 )
 def gen_recursive(t: Tables) -> DataFrame:
     """The closure of a parent column, level by level."""
-    t.part.selectExpr("p_partkey AS child", "p_partkey div 2 AS parent").where("child > 1").createOrReplaceTempView("quarry_children")
-    return t.spark.sql("""WITH RECURSIVE tree(id, depth) AS (SELECT 1L, 0 UNION ALL
-        SELECT c.child, depth + 1 FROM tree JOIN quarry_children c ON c.parent = tree.id WHERE depth < 6) SELECT id, depth FROM tree""")
+    view = f"children_{uuid.uuid4().hex}"
+    t.part.selectExpr("p_partkey AS child", "p_partkey div 2 AS parent").where("child > 1").createOrReplaceTempView(view)
+    return t.spark.sql(f"""WITH RECURSIVE tree(id, depth) AS (SELECT 1L, 0 UNION ALL
+        SELECT c.child, depth + 1 FROM tree JOIN {view} c ON c.parent = tree.id WHERE depth < 6) SELECT id, depth FROM tree""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,17 +129,40 @@ def enum_page_area(t: Tables) -> DataFrame:
 
 @query(
     "st_click_dedupe",
-    """WITH c AS (SELECT event_id, user_id, event_id % 3 AS offer, ts FROM events WHERE event_type = 'click'),
-    s AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 5 SECOND, true) AS fresh FROM c WINDOW w AS (PARTITION BY user_id, offer ORDER BY ts, event_id)),
-    r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id, offer ORDER BY ts, event_id) AS run FROM s)
-    SELECT event_id, first_value(event_id) OVER (PARTITION BY user_id, offer, run ORDER BY ts, event_id) AS click_id FROM r""",
+    """WITH RECURSIVE c AS (SELECT event_id, user_id AS session, event_id % 3 AS offer, ts FROM events WHERE event_type = 'click'),
+    n AS (SELECT *, row_number() OVER (PARTITION BY session, offer ORDER BY ts, event_id) AS i FROM c),
+    s AS (SELECT event_id, session, offer, i, event_id AS click_id, ts AS stored FROM n WHERE i = 1
+      UNION ALL SELECT n.event_id, n.session, n.offer, n.i, CASE WHEN n.ts - s.stored <= INTERVAL 5 SECOND THEN s.click_id ELSE n.event_id END,
+        CASE WHEN n.ts - s.stored <= INTERVAL 5 SECOND THEN s.stored ELSE n.ts END FROM s JOIN n ON n.session = s.session AND n.offer = s.offer AND n.i = s.i + 1)
+    SELECT event_id, click_id FROM s""",
 )
 def st_click_dedupe(t: Tables) -> DataFrame:
-    """Clicks of one session and offer that follow each other within five seconds are the first of them."""
-    clicks = t.events.where("event_type = 'click'").select("event_id", "user_id", (F.col("event_id") % 3).alias("offer"), F.col("ts").cast("timestamp").alias("ts"))
-    own = Window.partitionBy("user_id", "offer").orderBy("ts", "event_id")
-    gap = F.col("ts") - F.lag("ts").over(own)
-    rows = clicks.withColumn("fresh", F.coalesce(gap > F.expr("INTERVAL 5 SECOND"), F.lit(True)).cast("int"))
-    rows = rows.withColumn("run", F.sum("fresh").over(own))
-    first = F.first("event_id").over(Window.partitionBy("user_id", "offer", "run").orderBy("ts", "event_id"))
-    return rows.select("event_id", first.alias("click_id"))
+    """The stored click that each click counts as, by session and offer, within five seconds of it."""
+    clicks = t.events.where("event_type = 'click'").select(
+        "event_id", F.col("user_id").alias("session"), (F.col("event_id") % 3).alias("offer"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    )
+    return stored_clicks(clicks, ["session", "offer"], 5 * 1000000)
+
+
+def stored_clicks(clicks: DataFrame, own: list[str], window: int) -> DataFrame:
+    """event_id and click_id of clicks (event_id, own, at): a click within `window` of a stored one is that one.
+
+    Reused clicks are not stored, so a click is measured against the last stored one, not against the click before it. A click
+    that comes later than the window after the one before it is stored whatever came before; only inside a run without such a
+    pause the rule goes click by click, and each run is judged apart.
+    """
+    order = Window.partitionBy(*own).orderBy("at", "event_id")
+    fresh = F.coalesce(F.col("at") - F.lag("at").over(order) > window, F.lit(True))
+    rows = clicks.withColumn("run", F.sum(fresh.cast("int")).over(order))
+    rows = rows.withColumn("size", F.count("*").over(Window.partitionBy(*own, "run")))
+
+    def judge(run: pd.DataFrame) -> pd.DataFrame:
+        out, stored, last = [], None, None
+        for event_id, at in run.sort_values(["at", "event_id"])[["event_id", "at"]].itertuples(index=False):
+            if last is None or at - last > window:
+                stored, last = event_id, at
+            out.append((event_id, stored))
+        return pd.DataFrame(out, columns=["event_id", "click_id"])
+
+    alone = rows.where("size = 1").select("event_id", F.col("event_id").alias("click_id"))
+    return alone.unionByName(rows.where("size > 1").groupBy(*own, "run").applyInPandas(judge, "event_id long, click_id long"))

@@ -144,3 +144,42 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_clicks_are_measured_against_stored_ones(spark):
+    from quarry.operators.requests import stored_clicks
+
+    at = [0, 4, 8, 9, 13, 14, 40, 41, 41]
+    rows = [(i, "s", 1, second * 1000000) for i, second in enumerate(at)] + [(100, "s", 2, 0), (101, "t", 1, 1000000)]
+    found = dict(tuple(r) for r in stored_clicks(spark.createDataFrame(rows, "event_id long, session string, offer int, at long"), ["session", "offer"], 5000000).collect())
+    assert found == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 5, 6: 6, 7: 6, 8: 6, 100: 100, 101: 101}
+
+
+def test_matching_follows_its_rules(spark):
+    """A listing's exact match decides first; else taken products, complete foreign code sets and turned-down pairs are out."""
+    from quarry.operators.resolution import best
+
+    class Tables:
+        offers = spark.createDataFrame([(10, 5), (20, 5)], "product_id long, merchant_id long")
+        listings = spark.createDataFrame(
+            [(1, 30, 9, "a", None, None, "4006381333931", None), (2, 20, 5, "b", None, None, None, None), (3, 10, 5, "c", None, None, None, None), (4, 40, 8, "d", None, None, None, None)],
+            "listing_id long, product_id long, merchant_id long, title string, brand string, color string, gtin string, mpn string",
+        )
+
+    def pair(listing, product, own=20, merchant=5, method=None, veto=None, score=0.5, gtin=None):
+        return (listing, own, merchant, product, 1, method, veto, False, 0.5, None, score, method or "text", gtin)
+
+    schema = "listing_id long, product_id long, merchant_id long, r_product_id long, r_merchant_id long, method string, veto string, review boolean, text double, image double, score double, how string, gtin14 string"
+    rows = [
+        pair(2, 10, score=0.9),  # the merchant has an offer of product 10 already
+        pair(2, 40, score=0.7),
+        pair(5, 30, gtin="05000000000004", merchant=7, score=0.9),  # product 30's codes are all known, and others
+        pair(5, 40, gtin="05000000000004", merchant=7, score=0.6),
+        pair(6, 91, merchant=7, score=0.9),  # turned down: 6 + 91 = 97
+        pair(6, 40, merchant=7, score=0.6),
+        pair(7, 40, merchant=7, score=0.0, veto="color"),
+        pair(8, 10, merchant=5, method="gtin", score=1.0),  # exact identity asks no further
+        pair(8, 40, merchant=5, score=0.99),
+    ]
+    found = {r.listing_id: r.r_product_id for r in best(Tables, spark.createDataFrame(rows, schema)).collect()}
+    assert found == {2: 40, 5: 40, 6: 40, 8: 10}

@@ -17,8 +17,9 @@ A rate becomes copies: its integer part, and one more if a hash of the row falls
 totals are kept and the result is reproducible.
 
 Defined results: null and blank texts have no tokens and get rates like others with the same posteriors; without
-labelled rows, or with one domain only, posteriors are the domains' smoothed shares; labels of unlisted or null value
-are not learned from; repeated rows get equal rates; extra columns pass through; an empty table gives an empty result.
+labelled rows, or with those of one domain only, posteriors are the domains' smoothed shares; a domain with a single
+labelled row borrows the others' variances, one without any counts as an average of all; labels of unlisted or null value
+are not learned from; a fit that leaves a target unmet, whatever ends it, warns with the gap; repeated rows get equal rates; extra columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -73,7 +74,11 @@ def measured(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def classifier(rows: DataFrame, labels: DataFrame, label: str, domains: list) -> list[dict]:
-    """Share, means and variances of the measures for each domain, over all labelled rows."""
+    """Share, means and variances of the measures for each domain, over all labelled rows.
+
+    A domain with one labelled row has its means and the variances that domains have on average; one without any has the means
+    and variances of all labelled rows. With rows of no domain or of one alone nothing can be told apart, and `known` is false.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).alias("_domain")).where(
         F.col("_domain").isin(domains)
     )
@@ -83,18 +88,26 @@ def classifier(rows: DataFrame, labels: DataFrame, label: str, domains: list) ->
         for r in rows.join(known, rows["_doc_id"] == known["_id"]).groupBy("_domain").agg(F.count("*").alias("n"), *numbers).collect()
     }
     total = sum(r["n"] for r in found.values())
+
+    def pooled(value) -> list[float]:  # noqa: ANN001
+        return [sum(r["n"] * value(r, m) for r in found.values()) / max(total, 1) for m in MEASURES]
+
+    middle = pooled(lambda r, m: r["mean_" + m])
+    inner = pooled(lambda r, m: r["var_" + m])
+    outer = pooled(lambda r, m: r["mean_" + m] ** 2)
+    overall = [v + o - x * x for v, o, x in zip(inner, outer, middle, strict=True)]
     out = []
     for d in domains:
-        r = found.get(d) if len(found) > 1 else None
-        share = ((found[d]["n"] if d in found else 0) + 1) / (total + len(domains))
-        means = [(r or {}).get("mean_" + m) for m in MEASURES]
-        variances = [(r or {}).get("var_" + m) for m in MEASURES]
-        out.append({"domain": d, "share": share, "means": means, "variances": variances, "known": r is not None and r["n"] > 1})
+        r = found.get(d)
+        means = [r["mean_" + m] for m in MEASURES] if r else middle
+        variances = overall if not r else inner if r["n"] == 1 else [r["var_" + m] for m in MEASURES]
+        share = ((r["n"] if r else 0) + 1) / (total + len(domains))
+        out.append({"domain": d, "share": share, "means": means, "variances": variances, "known": len(found) > 1})
     return out
 
 
 def posteriors(model: list[dict], least_variance: float = 1e-4) -> list[Column]:
-    """A column for each domain: its posterior, from the measures. Domains without rows of their own keep their share."""
+    """A column for each domain: its posterior, from the measures; the shares alone if these tell nothing apart."""
     fitted = all(d["known"] for d in model)
     logs = []
     for d in model:
@@ -126,7 +139,7 @@ def stepped(rate: Column, moves: list[np.ndarray], floor: float, ceiling: float
 
 
 def fitted_rates(rows: DataFrame, targets: list[float], floor: float, steps: int, close: float, ceiling: float = math.inf) -> Column:
-    """The rate as an expression of _p0, _p1, ... when the fit has converged; a fit that meets the bound `steps` first warns."""
+    """The rate as an expression of _p0, _p1, ... when the fit has converged; one that ends with a gap warns."""
     k, goal = len(targets), np.array(targets, float)
     names = [f"_p{i}" for i in range(k)]
 
@@ -154,6 +167,7 @@ def fitted_rates(rows: DataFrame, targets: list[float], floor: float, steps: int
         free = F.col("_apart") != 0
         *shared, reach = sums(now, [*[F.when(free, x) for x in both], F.col("_tokens") * F.col("_apart") * F.col("_apart")])
         if np.sqrt(steepest * reach) <= 0.1 * close * size:  # what a plain step can still close
+            warnings.warn(f"mixing: floor and ceiling leave a gap of {np.abs(gap).max() / size:.6f} of the largest target", stacklevel=2)
             break
         shared = np.array(shared).reshape(k, k)
         newton = np.linalg.lstsq(shared + 1e-9 * np.trace(shared) * np.eye(k), gap, rcond=None)[0]
@@ -166,6 +180,7 @@ def fitted_rates(rows: DataFrame, targets: list[float], floor: float, steps: int
         losses = (gaps * gaps).sum(axis=1)
         best = int(losses.argmin())
         if losses[best] >= (1 - LEAST_GAIN) * (gap @ gap):  # the bounds hold the rates; hardly more than rounding is left
+            warnings.warn(f"mixing: no step closes the gap of {np.abs(gap).max() / size:.6f} of the largest target", stacklevel=2)
             break
         moves.append(tried[best])
         pending.append(moves[-1])

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import mixing, topk, toxicity
 
@@ -104,6 +105,23 @@ def test_mixing_stops_only_when_converged(spark):
     assert np.linalg.norm(gap) <= 1.01 * np.linalg.norm(p.T @ (plain * tokens) - goal)
 
 
+def test_a_domain_with_one_labelled_row_is_learned(marked, spark):
+    docs, labels, rows, _ = marked
+    one = labels.where("quality IN (0, 1)").limit(1).select("doc_id").first()[0]
+    more = labels.withColumn("quality", F.when(F.col("doc_id") == one, 2).otherwise(F.col("quality")))
+    found = mixing.document_rates(docs, more, {0: 0.4, 1: 0.4, 2: 0.1, 3: 0.1}).collect()
+    for column in ("p_0", "p_1", "p_2", "p_3"):
+        assert len({r[column] for r in found}) > 1, column
+    assert all(abs(r.p_0 + r.p_1 + r.p_2 + r.p_3 - 1) < 1e-5 for r in found)
+
+
+def test_an_unmet_target_warns(marked):
+    docs, labels, _, _ = marked
+    with pytest.warns(UserWarning, match="mixing"):
+        found = mixing.document_rates(docs, labels, {0: 0.9, 1: 0.1}, floor=1.0, ceiling=1.0).collect()
+    assert {r.rate for r in found} == {1.0}
+
+
 @pytest.mark.parametrize("block_rows", [64, 4096])
 def test_top_k_is_exact(spark, block_rows):
     rng = np.random.default_rng(4)

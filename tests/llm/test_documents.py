@@ -1,6 +1,7 @@
 """Each operator over documents against a brute-force version on all rows, edge cases included."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quarry.llm import packing, repetition, shards, simhash
+from quarry.llm import lines, packing, repetition, shards, simhash
 from quarry.llm.lines import line_dedup
 from quarry.llm.substrings import remove_repeated_words
 from quarry.llm.suffixes import remove_repeated_bytes
@@ -233,3 +234,35 @@ def test_a_thousand_equal_and_a_thousand_near_equal_lines(spark):
     rows = [(i, words if i < 1000 else f"{words} own{i}") for i in range(2000)]
     found = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.row.doc_id: r.n_removed for r in found} == {i: int(i > 0) for i in range(2000)}
+
+
+def test_long_lines_below_the_threshold_are_not_paired_for_words(spark, monkeypatch):
+    """Lines of 100 words that share about 81 pairwise (similarity 0.68) are told apart before their words are compared."""
+    rng, judged, similar = random.Random(5), [], lines.similar
+    base = [f"base{i}" for i in range(100)]
+    own = [{p: f"own{i}x{p}" for p in rng.sample(range(100), 10)} for i in range(80)]
+    rows = [(i, " ".join(o.get(p, w) for p, w in enumerate(base))) for i, o in enumerate(own)]
+
+    def counted(pairs, *rest):
+        judged.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(lines, "similar", counted)
+    found = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.n_removed for r in found) == 0
+    assert sum(judged) < 500  # of 3,160 pairs
+
+
+def test_lines_near_the_threshold_with_full_and_other_counters(spark, monkeypatch):
+    """Every posting list is met, whether its counter is full or not, and a line's first pair that fails is not its last."""
+    rng = random.Random(9)
+    base = [[f"w{g}x{k}" for k in range(14)] for g in range(12)]
+    vary = lambda w: [rng.choice(base[0]) if rng.random() < 0.1 else x for x in w if rng.random() > 0.08]
+    rows = [(i, " ".join(vary(base[min(i % 40, 11)]))) for i in range(400)]
+    sets = [set(t.split()) for _, t in rows]
+    expected = {i: int(any(5 * len(s & e) >= 4 * len(s | e) for e in sets[:i])) for i, s in enumerate(sets)}
+    for hot in (1, 20, 10**9):
+        monkeypatch.setattr(lines, "HOT", hot)
+        found = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.row.doc_id: r.n_removed for r in found} == expected
+    assert 20 < sum(expected.values()) < 390

@@ -32,7 +32,7 @@ def rows_of(rows, columns):
     return Counter(tuple(round(x, 5) if isinstance(x, float) else x for x in (r[c] for c in columns)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["flt_gate", "q_candidates", "q_score", "q_search"])
+@pytest.mark.parametrize("name", ["flt_gate", "q_candidates", "q_score", "q_search", "q_slot_similarity"])
 def test_repeated_products_give_what_sql_gives(spark, repeated, name):
     base, con = repeated
     found = registry.queries()[name](spark, base)
@@ -41,7 +41,7 @@ def test_repeated_products_give_what_sql_gives(spark, repeated, name):
     assert rows_of(found.collect(), columns) == rows_of((dict(zip(columns, r, strict=True)) for r in expected), columns)
 
 
-@pytest.mark.parametrize("name", ["flt_gate", "q_candidates", "q_score", "q_search"])
+@pytest.mark.parametrize("name", ["flt_gate", "q_candidates", "q_score", "q_search", "q_slot_similarity"])
 def test_equal_words_are_compared_once(spark, repeated, name, monkeypatch):
     """The word pairs that are judged are no more with five copies of each product than with one."""
     seen = []

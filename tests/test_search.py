@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from quarry.functions import titles
 from quarry.operators import search
 from quarry.plans import registry
 
@@ -32,7 +33,7 @@ def rows_of(rows, columns):
     return Counter(tuple(round(x, 5) if isinstance(x, float) else x for x in (r[c] for c in columns)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["flt_gate", "q_candidates", "q_score", "q_search", "q_slot_similarity"])
+@pytest.mark.parametrize("name", ["flt_gate", "q_candidates", "q_score", "q_search", "q_slot_similarity", "str_fts_prefix"])
 def test_repeated_products_give_what_sql_gives(spark, repeated, name):
     base, con = repeated
     found = registry.queries()[name](spark, base)
@@ -50,3 +51,10 @@ def test_equal_words_are_compared_once(spark, repeated, name, monkeypatch):
     for folder in (ROOT, repeated[0]):
         registry.queries()[name](spark, folder)
     assert seen[1] <= seen[0] * 1.3
+
+
+def test_equal_titles_meet_prefixes_once(spark):
+    asks = spark.createDataFrame([(q, ["red", "bol"]) for q in range(4)], "query_id long, asked array<string>")
+    products = spark.createDataFrame([(p, "red bolt") for p in range(9)], "product_id long, title string")
+    found = titles.prefix_hits(asks, products)
+    assert found.count() == 36
